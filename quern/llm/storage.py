@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,3 +43,13 @@ def drop_table(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, which an aggregation has just dealt out by ``keys``, for a join with a side that may be skewed.
+
+    The keys are made anew (x ^ 0), so the planner doesn't reuse the aggregation's partitioning and both
+    sides of the join get a shuffle of their own; only such a join can be split by adaptive execution.
+    The additional shuffle has one row per key.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})

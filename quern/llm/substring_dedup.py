@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.storage import write_table
+from quern.llm.storage import apart, write_table
 from quern.llm.words import BYTE_BASE, U64, WORD_BASE, WORD_BASE_2, parts, spans_hash, split, string_bytes
 from quern.shipping import ship
 
@@ -186,7 +186,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     """Per text key, the places whose hash has another place too."""
     place = F.xxhash64("k", "k2", "p")
     hashes = rows.groupBy("h", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("h", "h2")
-    return rows.join(hashes, ["h", "h2"], "left_semi").groupBy("k", "k2").agg(F.collect_set("p").alias("found"))
+    return rows.join(apart(hashes, "h", "h2"), ["h", "h2"], "left_semi").groupBy("k", "k2").agg(F.collect_set("p").alias("found"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, base: int = 9) -> DataFrame:
