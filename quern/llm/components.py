@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.storage import drop_table, write_table
+from quern.llm.storage import apart, drop_table, write_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(apart(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(apart(least, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = write_table(small.union(least).distinct(), "edges")
         drop_table(now)
         now = after
