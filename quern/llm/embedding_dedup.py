@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import Forest, components
 from quern.llm.simhash import grouped
-from quern.llm.storage import write_table
+from quern.llm.storage import apart, write_table
 from quern.llm.words import mix
 from quern.shipping import ship
 
@@ -86,7 +86,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keyed = classes.select("node", "v").mapInArrow(bucket, "node long, t int, bucket long").join(classes.select("node", "label", "n", "v"), "node")
     full = keyed.groupBy("label", "t", "bucket").agg(F.count("*").alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / split_at).cast("int")
-    dealt = keyed.join(full, ["label", "t", "bucket"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = keyed.join(apart(full, "bucket"), ["label", "t", "bucket"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = dealt.select("node", "n", "v", "t", "own", F.xxhash64("label", "bucket").alias("key"), F.explode(F.transform(other, lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("pair"))
     dealt = dealt.select("node", "n", "v", "t", "key", "own", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"))
