@@ -105,7 +105,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).alias("text"))
     rows = write_table(source.mapInArrow(_scan, SCANNED).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("x")).select("row", "owner", "repo", "x.*")
-    seen = each.select("row", "kind", "start", "end", "value").join(ownership(each.select("value", "owner", "repo")), "value")
+    seen = each.select("row", "kind", "start", "end", "value").join(ownership(each.select("value", "owner", "repo")).withColumn("value", F.concat("value", F.lit(""))), "value")
     example = F.col("n_owners") >= example_owners
     reported = (F.col("kind") < 3) | ~example
     span = F.struct("start", "kind", F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), "start", "end").alias("s"))
