@@ -1,0 +1 @@
+"""Nothing here: the engine answers bounded tables, and has no streaming operator to offer."""
