@@ -81,7 +81,7 @@ def _passes():
 
 
 def _wrapping(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _line(spark, folder).select("l_returnflag", (F.col("l_partkey") * 4_000_000_000_000_000).alias("v"), "l_quantity")
+    rows = _line(spark, folder).select("l_returnflag", (F.col("l_partkey") % 20_000 * 400_000_000_000_000).alias("v"), "l_quantity")
     return query(rows, "SELECT l_returnflag, SUM(v) FROM t WHERE l_quantity > 25 GROUP BY l_returnflag")
 
 
@@ -138,6 +138,6 @@ ORACLE_SQL: dict[str, str] = {
     "group_index_phase": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25",
     "dict_encode_first_seen": "SELECT event_type AS value, row_number() OVER (ORDER BY min(event_id), event_type) - 1 AS code FROM events GROUP BY event_type",
     "sum_int_wrapping": """SELECT l_returnflag, CAST(CASE WHEN m >= 9223372036854775808 THEN m - 18446744073709551616 ELSE m END AS BIGINT) AS "SUM(v)" FROM (
-        SELECT l_returnflag, SUM(CAST(l_partkey AS HUGEINT) * 4000000000000000) % 18446744073709551616 AS m FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag)""",
+        SELECT l_returnflag, SUM(CAST(l_partkey % 20000 AS HUGEINT) * 400000000000000) % 18446744073709551616 AS m FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag)""",
     "csv_roundtrip_query": 'SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(SUM(n_nationkey) AS BIGINT) AS "SUM(n_nationkey)" FROM nation WHERE n_name > \'B\' GROUP BY n_regionkey',
 }
