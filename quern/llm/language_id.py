@@ -128,14 +128,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return prototypes
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", n: int = 3, dimension: int = 1024, seed: int = 11) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", n: int = 3, dimension: int = 1024, seed: int = 11, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the prediction and its score under ``names``."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     ship(docs.sparkSession)
-    names = np.asarray(sorted(prototypes), object)
-    model = np.stack([prototypes[k] for k in names]).astype(np.float64) if len(names) else None
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    known = np.asarray(sorted(prototypes), object)
+    model = np.stack([prototypes[k] for k in known]).astype(np.float64) if len(known) else None
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, text_col, 1 << 19):
@@ -144,9 +144,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             if model is not None:
                 cosines = unit(vectors) @ model.T
                 at = cosines.argmax(axis=1)
-                best[has] = names[at[has]]
+                best[has] = known[at[has]]
                 value[has] = np.clip(cosines[np.arange(len(has)), at][has], 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.tolist(), pa.string()), pa.array(value)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.tolist(), pa.string()), pa.array(value)], [*batch.schema.names, *names])
 
     return docs.mapInArrow(score, schema)
 
