@@ -46,6 +46,8 @@ SKIP_WORDS = frozenset(
 )
 KEEP_ROOTS = frozenset(["article", "main"])
 TOKEN = re.compile(r"[a-z]+")
+#: A tag that the page ends in; it is no text.
+CUT_TAG = re.compile(r"</?[A-Za-z][^<>]*\Z")
 LINK_SHARE = 0.8
 
 
@@ -137,6 +139,7 @@ class Blocks(HTMLParser):
         self.text, self.tags, self.linked = [], 0, 0
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
+        self.rawdata = CUT_TAG.sub("", self.rawdata)
         self.close()
         self._flush()
         return self.blocks
