@@ -21,27 +21,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends here.
 
     A lost executor takes nothing with it that a later step needs. The shuffle files of the finished
-    step have no reader any more; the collection lets Spark's cleaner remove them.
+    step have no reader any more; the collection lets Spark's cleaner remove them. by: a column that the
+    files are parted by, so that drop_table() can delete one part.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quern-tables/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     spark.sparkContext._jvm.System.gc()
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table of write_table() once nothing reads it."""
+def drop_table(df: DataFrame, part: str = "") -> None:
+    """Delete a table of write_table(), or one part (column=value) of it, once nothing reads it."""
     path = getattr(df, "_quern_path", None)
     if path:
         jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.storage import apart, write_table
+from quern.llm.storage import apart, drop_table, write_table
 from quern.llm.words import BYTE_BASE, U64, WORD_BASE, WORD_BASE_2, parts, spans_hash, split, string_bytes
 from quern.shipping import ship
 
-ROW = "id long, k long, k2 long, n_words long, n_removed long, kept string, done boolean, emits boolean, text string, runs array<int>"
+ROW = "id long, k long, k2 long, n_words long, n_removed long, kept string, done boolean, emits boolean, text string, runs array<int>, moves boolean"
 PLACES = "h long, h2 long, k long, k2 long, p int"
 
 
@@ -138,7 +138,8 @@ def narrow(window: int, length: int, final: bool):
     """mapInArrow over rows with ``text``, ``runs`` (absent: all windows) and the repeated places ``found``.
 
     Below the last level it keeps the windows whose named place is found; at the last level it removes
-    the words of the found windows. A text with none is done.
+    the words of the found windows. A text with none is done. A done text is a row with its result; one
+    that goes on (as a place of others, if it is done itself) is a row with its text and windows.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,7 @@ def narrow(window: int, length: int, final: bool):
             for i in range(batch.num_rows):
                 n = int(t.words[i + 1] - t.words[i])
                 copies, found = (col["copies"][i] or 1) if "copies" in col else 1, col["found"][i]
-                emits, removed, kept, runs, kept_text = col["emits"][i], 0, None, None, None
+                emits, removed, kept, runs = col["emits"][i], 0, None, None
                 known = done = bool(col["done"][i]) if "done" in col else False
                 if copies > 1 and n >= window:
                     done, removed, kept = True, n, hashlib.sha256(b"").hexdigest()
@@ -165,18 +166,16 @@ def narrow(window: int, length: int, final: bool):
                         windows = np.arange(t.first[i], t.first[i + 1]) if "runs" not in col else from_runs(col["runs"][i], t.first[i])
                         place, _ = t.named(length, t.at[windows])
                         runs = to_runs(windows[np.isin(place - t.words[i], np.asarray(found))] - t.first[i])
-                if known and not (runs and emits):
-                    continue  # its row is out already, and it names no place any more
-                if not runs or (done and not emits):
-                    runs, emits = None, False
-                    if not done:
-                        done, removed, kept = True, 0, t.digest(i)
-                else:
-                    kept_text = batch.column("text")[i].as_py()
-                out.append((col["id"][i], col["k"][i], col["k2"][i], n, removed, kept, done, bool(emits), kept_text, runs))
+                if not runs and not done:
+                    done, removed, kept = True, 0, t.digest(i)
+                key = (col["id"][i], col["k"][i], col["k2"][i], n)
+                if done and not known:
+                    out.append((*key, removed, kept, True, False, None, None, False))
+                if runs and (emits or not done):
+                    out.append((*key, 0, None, done, bool(emits), batch.column("text")[i].as_py(), runs, True))
             if not out:
                 continue
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int32())]
+            kinds = [pa.int64()] * 5 + [pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ROW.split(", ")])
 
     return step
@@ -200,15 +199,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = source.groupBy("k", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("one"))
     info = classes.join(found, ["k", "k2"], "left").where("copies > 1 or found is not null")
     joined = source.join(info, ["k", "k2"], "left").select("id", "text", "k", "k2", "copies", "found", (F.col("id").eqNullSafe(F.col("one")) | F.col("one").isNull()).alias("emits"))
-    tables = [write_table(joined.mapInArrow(narrow(window, steps[0], False), ROW), f"substrings-{steps[0]}")]
+    tables = [write_table(joined.mapInArrow(narrow(window, steps[0], False), ROW), f"substrings-{steps[0]}", by="moves")]
     for length in steps[1:]:
         last = tables[-1]
-        alive = last.where("runs is not null")
-        rows = alive.where("emits or not done").select("text", "k", "k2", "runs").mapInArrow(places(window, length), PLACES)
+        alive = last.where("moves")
+        rows = alive.select("text", "k", "k2", "runs").mapInArrow(places(window, length), PLACES)
         found = _repeated(rows)
         joined = alive.join(found, ["k", "k2"], "left").select("id", "text", "k", "k2", "emits", "found", "runs", "done")
         final = length == window
         # texts that are removed whole went on only as places of others
-        tables.append(write_table((joined.where("not done") if final else joined).mapInArrow(narrow(window, length, final), ROW), f"substrings-{length}"))
-    rows = [t.where("done and kept is not null").select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256")) for t in tables]
+        tables.append(write_table((joined.where("not done") if final else joined).mapInArrow(narrow(window, length, final), ROW), f"substrings-{length}", by="moves"))
+        drop_table(last, "moves=true")
+    rows = [t.where("not moves").select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256")) for t in tables]
     return reduce(DataFrame.unionByName, rows)
