@@ -88,7 +88,7 @@ class PerfectHash:
 class Tokenizer:
     """Encodes by ranks; built once on the driver and sent to the executors (about 2 MB for 50,000 tokens)."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, remember: int = 200_000):
+    def __init__(self, tokens: list[bytes], pattern: str, remember: int = 400_000):
         self.tokens, self.pattern, self.remember = tokens, pattern, remember
         self.whole = PerfectHash(tokens)
 
@@ -153,7 +153,7 @@ class Tokenizer:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, remember: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, remember: int = 400_000) -> DataFrame:
     """One row per document: doc_id, ids (binary), n_tokens, and decoded (binary; made from the ids) if asked for.
 
     vocabulary: a file of base64 tokens and ranks that the driver reads.
