@@ -4,14 +4,19 @@ The standard library's streaming parser feeds events; only the blocks made so fa
 the text between two block-level tags (or in a table cell); ``br`` and other markup inside a block are
 white space or nothing. Regions that never hold main text are skipped with all they contain: scripts,
 styles, navigation, headers and footers of the page, sidebars, forms, and elements whose class, id or
-role has a word such as ad, cookie, menu, sidebar, notice or comments (``SKIP_WORDS``). A header inside an
-article stays when it holds the title. Where a page has ``article`` or ``main``, only blocks inside count.
+role has a word such as ad, cookie, menu, sidebar, notice or comments (``SKIP_WORDS``; names such as
+has-sidebar only tell what else is there). A header inside an article stays when it holds the title. Where a
+page has ``article`` or ``main``, only blocks inside count; an article that is itself a comment or an advert
+(``NO_ROOT_WORDS``) is a skipped region. A region left open can hold the article itself: if no text outside
+links is left and an article was skipped, the page is read again and only what is inside articles counts.
 
 What is left is decided by the text-to-tag ratio (Weninger et al., 2010). A block's ratio is its
 characters outside links over its tags (1 at least). The ratios are smoothed with a Gaussian over
 neighbouring blocks, and blocks fall into two clusters at the threshold ``cut`` times the standard
-deviation of the smoothed ratios. The lower cluster is dropped only where a page marks no article;
-inside a marked article a block is dropped only if it is nearly all links (a list of related pages).
+deviation of the smoothed ratios. Where a page marks no article, the content runs from the first to the last
+block of the upper cluster that isn't nearly all links, and of the lower cluster only such link blocks are
+dropped from between; inside a marked article a block is dropped only if it is nearly all links (a list of
+related pages).
 
 Defined results: null or empty html, or no text: empty text. Character references are decoded, white
 space inside a block becomes one space, ends are trimmed, blocks are joined by newline in page order. One
@@ -45,17 +50,33 @@ SKIP_WORDS = frozenset(
     "comment comments disqus respond reply replies complementary contentinfo pagination pager toolbar copyright hidden".split()
 )
 KEEP_ROOTS = frozenset(["article", "main"])
+#: Words that make an article none.
+NO_ROOT_WORDS = frozenset("comment comments reply replies ad ads advert adverts advertisement sponsored promo related recommended".split())
+#: A name with one of these tells what a region holds or lacks, not what it is.
+ABOUT_WORDS = frozenset("has with no without".split())
 TOKEN = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: A tag that the page ends in; it is no text.
 CUT_TAG = re.compile(r"</?[A-Za-z][^<>]*\Z")
 LINK_SHARE = 0.8
 
 
+def named_words(value: str) -> set[str]:
+    """The words of the names in a class, id or role attribute; userComments is both one word and two."""
+    out: set[str] = set()
+    for name in value.split():
+        words = TOKEN.findall(CAMEL.sub(" ", name).lower())
+        if ABOUT_WORDS.isdisjoint(words):
+            out.update(words, TOKEN.findall(name.lower()))
+    return out
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page: (text, characters outside links, tags, inside an article)."""
+    """Blocks of a page: (text, characters outside links, tags, inside an article). inside_only: nothing outside articles is looked at."""
 
-    def __init__(self):
+    def __init__(self, inside_only: bool = False):
         super().__init__(convert_charrefs=True)
+        self.inside_only, self.swallowed = inside_only, False
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, bool, bool]] = []  # tag, skipped, root of an article
         self.skips = self.roots = self.links = self.tags = self.linked = 0
@@ -75,8 +96,9 @@ class Blocks(HTMLParser):
             self.text.append(" ")
         if tag in VOID_TAGS:
             return
-        skipped = tag in SKIP_TAGS or (tag == "header" and not self.roots) or self._marked(tag, attrs)
+        skipped = (self.roots > 0 or not self.inside_only or tag in KEEP_ROOTS) and (tag in SKIP_TAGS or (tag == "header" and not self.roots) or self._marked(tag, attrs))
         root = not skipped and (tag in KEEP_ROOTS or ("role", "main") in attrs)
+        self.swallowed |= root and self.skips > 0
         self.skips += skipped
         self.roots += root
         self.links += tag == "a"
@@ -106,12 +128,13 @@ class Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
     def _marked(self, tag: str, attrs) -> bool:
-        if tag in ("html", "body") or tag in KEEP_ROOTS:
+        if tag in ("html", "body"):
             return False
+        unwanted = NO_ROOT_WORDS if tag in KEEP_ROOTS else SKIP_WORDS
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if name in ("class", "id", "role") and value and not SKIP_WORDS.isdisjoint(TOKEN.findall(value.lower())):
+            if name in ("class", "id", "role") and value and not unwanted.isdisjoint(named_words(value)):
                 return not (tag in ("header", "h1", "h2", "h3", "hgroup") and self.roots)
         return False
 
@@ -134,7 +157,7 @@ class Blocks(HTMLParser):
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
-        if text and not self.skips:
+        if text and not self.skips and (self.roots or not self.inside_only):
             self.blocks.append((text, max(len(text) - self.linked, 0), max(self.tags, 1), self.roots > 0))
         self.text, self.tags, self.linked = [], 0, 0
 
@@ -157,17 +180,27 @@ def main_text(html: str | None, sigma: float = 1.0, cut: float = 1.0) -> str:
     parser = Blocks()
     parser.feed(html or "")
     blocks = parser.finish()
+    if parser.swallowed and not any(b[1] for b in blocks):
+        parser = Blocks(inside_only=True)
+        parser.feed(html)
+        blocks = parser.finish() or blocks
     if not blocks:
         return ""
     outside = np.fromiter((b[1] for b in blocks), float, len(blocks))
     ratios = outside / np.fromiter((b[2] for b in blocks), float, len(blocks))
     smoothed = smooth(ratios, sigma)
     marked = [b[3] for b in blocks]
+    size = np.fromiter((len(b[0]) for b in blocks), float, len(blocks))
+    prose = outside >= (1 - LINK_SHARE) * size
     if any(marked):
-        size = np.fromiter((len(b[0]) for b in blocks), float, len(blocks))
-        keep = np.asarray(marked) & ((outside >= (1 - LINK_SHARE) * size) | (smoothed >= cut * ratios.std()))
+        keep = np.asarray(marked) & (prose | (smoothed >= cut * ratios.std()))
     else:
-        keep = smoothed >= min(cut * smoothed.std(), smoothed.max())
+        upper = smoothed >= min(cut * smoothed.std(), smoothed.max())
+        core = np.flatnonzero(upper & prose)
+        if not len(core):
+            core = np.flatnonzero(upper)
+        keep = prose | upper
+        keep[: core[0]] = keep[core[-1] + 1 :] = False
     return "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k)
 
 

@@ -127,6 +127,34 @@ def test_clusters_without_an_article():
     assert out.count("sentence") == 30 and "Link 5" not in out
 
 
+LONG = "The council agreed after four hours of debate to fund the first phase of the works in spring. "
+STORY = f"<h1>Bridge</h1><p>{LONG * 3}</p><p>It passed.</p><p>{LONG * 2}</p><h2>Next</h2><p>Soon.</p><ul><li>Survey</li><li>Works begin</li></ul><p>{LONG * 4}</p>"
+LINES = ["Bridge", (LONG * 3).strip(), "It passed.", (LONG * 2).strip(), "Next", "Soon.", "Survey", "Works begin", (LONG * 4).strip()]
+LINKS = '<ul><li><a href="/">no</a></li><li><a href="/n">no</a></li></ul>'
+AROUND = [
+    "{links}{story}<p><a href='/x'>no</a></p>",
+    "<div class='header'>no</div><div class='menu'>{links}</div><div class='content'>{story}</div><div class='sidebar'>no {long}</div><div class='comments'>no {long}</div>",
+    "<div class='content'>{story}</div><article class='comment'>no {long}</article>",
+    "<main>{story}<section><article class='user-comment'>no {long}</article></section></main>",
+    "<div class='layout has-sidebar'><article>{story}</article><div class='sidebar'>no {long}</div></div>",
+    "<main class='page-with-comments'><article>{story}</article><div class='comments'>no {long}</div></main>",
+    "<article>{story}<div class='userComments'>no {long}</div><div id='adSlot'>no {long}</div></article>",
+    "<div class='ad'>no {long}<article>{story}</article>",
+    "<nav>{links}<article>{story}<form>no</form></article><footer>no</footer>",
+    "<div role='banner'>no</div><div role='main'>{story}</div><div role='complementary'>no {long}</div>",
+]
+
+
+@pytest.mark.parametrize("page", AROUND)
+def test_what_stands_around_the_article(page):
+    html = "<html><body>" + page.format(links=LINKS, story=STORY, long=LONG) + "</body></html>"
+    assert html_extract.main_text(html).split("\n") == LINES
+
+
+def test_a_page_of_comments_has_no_main_text():
+    assert html_extract.main_text(f"<form><p>Login</p></form><article class='comment'>no {LONG}</article>") == ""
+
+
 def test_smoothing_keeps_a_constant():
     assert html_extract.smooth(np.full(7, 3.0), 1.0) == pytest.approx(np.full(7, 3.0))
 
