@@ -13,6 +13,15 @@ Defined results: null or empty text, or no words: fingerprint zero, linked like
 words: the whole sequence is the one shingle. One result row per input row, also for repeated or null
 ids (a null id never becomes a component_id unless the component has no other). Empty table: empty
 result. Other columns are ignored.
+
+``near_copies`` is for a stage that asks for a similarity of the texts. Fingerprints only propose there;
+the Jaccard similarity of the sets of shingles (64-bit hashes) decides. Texts of equal sets are one node
+with two fingerprints. Similarity 0.8 leaves 19 of 128 bits apart on average, so the budget is
+``BUDGET`` bits in the first 64 and ``BOTH`` in all. A trie can't prune within its first ``budget`` levels,
+which hold all nodes there are, so blocks of fingerprints are compared whole; only sets whose sizes allow
+the similarity meet (classes of sizes, each with its neighbour). What is proposed makes groups; inside a
+group every pair within the budget is checked, unless other checked links connect it already. Large
+classes and groups are dealt out in tiles, and a task returns a forest of its links.
 """
 
 from __future__ import annotations
@@ -25,27 +34,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quern.llm.components import Forest, components
+from quern.llm.exact_dedup import bitmap, passes
 from quern.llm.storage import write_table
-from quern.llm.words import LOWER, SPACE, parts, split, string_bytes
+from quern.llm.words import LOWER, SPACE, mix, parts, split, string_bytes
 from quern.shipping import ship
 
 SPLIT_BITS = 8
 SIGN = np.uint64(1 << 63)
+#: Bits that may differ where near_copies asks for a similarity of 0.8: of the first fingerprint, and of both.
+BUDGET, BOTH = 20, 32
 
 
-def fingerprint_texts(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """64-bit fingerprints of a string column."""
+def shingle_hashes(column: pa.Array, shingle: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all word shingles of a string column, and how many each text has."""
     data, offsets = string_bytes(column)
     data = LOWER[data]
     starts, ends, words = split(data, offsets)
-    out = np.zeros(len(offsets) - 1, np.uint64)
     n = np.diff(words)
     have = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     if not have.sum():
-        return out
+        return np.zeros(0, np.uint64), have
     # one space between words: keep the bytes of words and the first byte after each
     keep = ~SPACE[data]
     after = ends[ends < len(data)]
@@ -59,8 +70,15 @@ def fingerprint_texts(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.
     last = np.minimum(first + shingle, words[1:][text]) - 1
     s, e = at[starts[first]].tolist(), (at[ends[last] - 1] + 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(s, e, strict=True)), np.uint64, len(s))
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(s, e, strict=True)), np.uint64, len(s)), have
+
+
+def prints_of(hashes: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of texts from the hashes of their shingles; zero where there is none."""
+    out = np.zeros(len(have), np.uint64)
     full = np.flatnonzero(have)
+    if not len(full):
+        return out
     begins = (np.cumsum(have) - have)[full]
     ones = np.empty((len(full), 64), np.int64)
     for lo in range(0, len(full), 256):
@@ -72,6 +90,11 @@ def fingerprint_texts(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.
     return out
 
 
+def fingerprint_texts(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """64-bit fingerprints of a string column."""
+    return prints_of(*shingle_hashes(column, shingle, seed))
+
+
 def trie_links(values: np.ndarray, groups: np.ndarray, budget: int, frontier: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Position pairs that differ in at most ``budget`` bits. values: sorted and unique inside each group; groups: where each begins, and the end.
 
@@ -203,3 +226,150 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = of.join(ids, "component").select("fp", "component", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", *carry)
+
+
+def sets_of(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, how many each has, and two fingerprints of each."""
+    hashes, have = shingle_hashes(column, shingle, seed)
+    of = np.repeat(np.arange(len(have)), have)
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    hashes, n = hashes[new], np.bincount(of[new], minlength=len(have))
+    return hashes, n, prints_of(hashes, n), prints_of(mix(hashes), n)
+
+
+def block_links(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray] | None, budget: int, both: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in x and in y (None: x itself, each pair once) within the budgets, and their distances."""
+    other = x if y is None else y
+    for r in range(0, len(x[0]), 256):
+        for c in range(r if y is None else 0, len(other[0]), 2048):
+            there = other[0][c : c + 2048]
+            near = np.flatnonzero(np.bitwise_count(x[0][r : r + 256, None] ^ there) <= budget)
+            i, j = near // max(len(there), 1) + r, near % max(len(there), 1) + c
+            if y is None:
+                i, j = i[i < j], j[i < j]
+            bits = np.bitwise_count(x[0][i] ^ other[0][j]) + np.bitwise_count(x[1][i] ^ other[1][j])
+            if (bits <= both).any():
+                yield i[bits <= both], j[bits <= both], bits[bits <= both]
+
+
+def tile_links(part: np.ndarray, guest: np.ndarray, fp: np.ndarray, fp2: np.ndarray, budget: int, both: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links inside a tile, nearest first: between its two parts, or inside its only one; guests don't meet guests."""
+    pick = lambda at: (fp[at], fp2[at])
+    home, out = np.flatnonzero(~guest), []
+    away = np.flatnonzero(guest)
+    if (part == 0).all():
+        sides = [(home, None), (home, away)]
+    else:
+        sides = [(home[part[home] == a], rest[part[rest] == b]) for a, b, rest in ((0, 1, home), (0, 1, away), (1, 0, away))]
+    for x, y in sides:
+        out += [(x[i], (x if y is None else y)[j], bits) for i, j, bits in block_links(pick(x), None if y is None else pick(y), budget, both)]
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    i, j, bits = map(np.concatenate, zip(*out, strict=True))
+    order = np.argsort(bits, kind="stable")
+    return i[order], j[order], bits[order]
+
+
+def tiles(df: DataFrame, key: str, node: str, side: Column) -> DataFrame:
+    """Each row under every tile of its key that its part stands in: columns lo, hi and part (0 or 1). side: parts of the key."""
+    part, q = F.pmod(F.xxhash64(node, F.lit(7)), F.col("sides")).cast("int"), F.col("q")
+    sizes = df.groupBy(key).agg(F.count("*").alias("m")).select(key, F.greatest(F.lit(1), side).cast("int").alias("sides"))
+    # the key is made anew: the join shares no shuffle with the aggregation, so a large key's rows can be split
+    sizes = sizes.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+    spread = df.join(sizes, key).withColumn("mine", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return spread.select(*df.columns, F.least("mine", q).alias("lo"), F.greatest("mine", q).alias("hi"), (F.col("mine") > q).cast("int").alias("part"))
+
+
+def proposed(nodes: DataFrame, similarity: float, budget: int, both: int) -> DataFrame:
+    """Nodes (node, n, fp, fp2) to edges (a, b) that connect what fingerprints and sizes allow to be similar."""
+    size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(-np.log(similarity) * (1 + 1e-9))).cast("int")
+    dealt = nodes.select("node", "fp", "fp2", size_class.alias("c")).select("node", "fp", "fp2", F.posexplode(F.array(F.col("c"), F.col("c") + 1)).alias("guest", "class"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in grouped(batches, ["class", "lo", "hi"]):
+            node, part, guest, fp, fp2 = (table.column(c).to_numpy() for c in ("node", "part", "guest", "fp", "fp2"))
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                forest = Forest(b - a)
+                i, j, _ = tile_links(part[a:b], guest[a:b] > 0, fp[a:b].view(np.uint64), fp2[a:b].view(np.uint64), budget, both)
+                forest.union(i, j)
+                child, parent = forest.edges()
+                if len(child):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a:b][child]), pa.array(node[a:b][parent])], ["a", "b"])
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("class", "lo", "hi")
+    return tiles(dealt, "class", "node", F.ceil(F.sqrt("m") / 24)).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
+
+
+def checked(texts: DataFrame, shingle: int, similarity: float, budget: int, both: int, seed: int) -> DataFrame:
+    """Rows (component, node, text) to edges (a, b) that connect what pairs of the similarity in a component connect."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "text"):
+            hashes, n, fp, fp2 = sets_of(batch.column("text"), shingle, seed)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["component", "node", "fp", "fp2", "s"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in grouped(batches, ["component", "lo", "hi"], 1 << 10):
+            node, part, fp, fp2 = (table.column(c).to_numpy() for c in ("node", "part", "fp", "fp2"))
+            lists = table.column("s").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            size = np.diff(offsets)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                i, j, _ = tile_links(part[a:b], np.zeros(b - a, bool), fp[a:b].view(np.uint64), fp2[a:b].view(np.uint64), budget, both)
+                i, j = i + a, j + a
+                fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+                root, links = list(range(b - a)), []
+
+                def find(x: int, root: list[int] = root) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
+                    p, q = find(x - a), find(y - a)
+                    if p == q:
+                        continue
+                    s, t = values[offsets[x] : offsets[x + 1]], values[offsets[y] : offsets[y + 1]]
+                    same = int((s.take(np.searchsorted(s, t), mode="clip") == t).sum()) if len(s) else 0
+                    if same >= similarity * (len(s) + len(t) - same):
+                        root[p] = q
+                        links.append((x, y))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in links]]), pa.array(node[[y for _, y in links]])], ["a", "b"])
+
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("component", "lo", "hi")
+    rows = write_table(texts.mapInArrow(sets, "component long, node long, fp long, fp2 long, s array<long>"), "sets")
+    dealt = tiles(rows, "component", "node", F.when(F.col("m") <= 256, 1).otherwise(F.ceil(F.sqrt("m") / 4)))
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
+
+
+def near_copies(docs: DataFrame, place: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = BUDGET, both: int = BOTH, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, component (the group's number, never null), and the columns ``place``, which tell rows apart."""
+
+    ship(docs.sparkSession)
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "text"):
+            hashes, n, fp, fp2 = sets_of(batch.column("text"), shingle, seed)
+            ends = np.cumsum(n)
+            node = np.fromiter((xxhash.xxh3_64_intdigest(hashes[b - k : b].tobytes()) for b, k in zip(ends.tolist(), n.tolist(), strict=True)), np.uint64, len(n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *place)), pa.array(node.view(np.int64)), pa.array(n, pa.int32()), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64))], ["doc_id", *place, "node", "n", "fp", "fp2"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *place, F.col(text_col).alias("text"))
+    new = [StructField(c, IntegerType() if c == "n" else LongType()) for c in ("node", "n", "fp", "fp2")]
+    rows = write_table(source.mapInArrow(prints, StructType([f for f in source.schema.fields if f.name != "text"] + new)), "fingerprints")
+    nodes = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "fp", "fp2")))
+    groups = components(proposed(nodes, similarity, budget, both))
+    # of each proposed node one text is read
+    one = rows.join(groups, "node").groupBy("node").agg(F.min(F.struct(*place)).alias("x"), F.min("component").alias("component"))
+    digest = F.concat_ws(" ", *place).alias("digest")
+    one = write_table(one.select("node", "component", "x.*").select("node", "component", digest), "proposed")
+    texts = source.select(digest, "text").where(passes(bitmap(one.select("digest")))).join(one, "digest").select("component", "node", "text")
+    found = components(checked(texts, shingle, similarity, budget, both, seed))
+    return rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), *place)
