@@ -15,19 +15,23 @@ Fit: projected gradient descent on half the squared error of the domain totals,
 Gram matrix of the posteriors (which makes the step size 1 right), projected on 0 <= rate <= ``most``. The
 gradient of a document needs its posterior and one number per domain, so an iteration is one pass over
 the table of posteriors that adds up one number per domain; the driver gets those numbers. Rates are a
-function of the posterior and the list of steps, so nothing is written between iterations.
+function of the posterior and the list of steps, so nothing is written between iterations. Rates have no
+upper bound unless the caller sets one, and what is left of each domain's target is logged as a warning.
 
 Copies: the whole part of the rate, and one more with the fraction's probability by a hash of the id.
 
 Defined results: null text: no tokens, the prior as posterior. Labels that are null, or whose document is
 missing: unused; several labels of one document: the worst (toxic, then low). No labels: the posterior is
-uniform. A target for a domain without tokens can't be met and is reported as it stands. Null or repeated
-ids: a row each. Empty table: empty result.
+uniform. Targets that no rates of 0 to ``most`` meet (of a domain without tokens, or smaller than what
+documents of mixed posteriors bring along): the nearest rates found, and the warning. Null or repeated ids:
+a row each. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import json
+import logging
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -118,8 +122,8 @@ def rate_of(steps: list[list[float]], most: float) -> Column:
     return F.aggregate(moves, F.lit(1.0), lambda r, s: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - dot(s))))
 
 
-def fit(rows: DataFrame, targets: list[float], most: float = 8.0, iterations: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
-    """Steps of the projected gradient for the targets (tokens per domain)."""
+def fit(rows: DataFrame, targets: list[float], most: float = math.inf, iterations: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
+    """Steps of the projected gradient for the targets (tokens per domain); warns of targets that aren't met."""
     k = len(DOMAINS)
     gram = rows.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))), F.lit(0.0)).alias(f"g{i}{j}") for i in range(k) for j in range(k))).first()
     inverse = np.linalg.pinv(np.asarray([float(x) for x in gram]).reshape(k, k), rcond=1e-9, hermitian=True)
@@ -133,6 +137,12 @@ def fit(rows: DataFrame, targets: list[float], most: float = 8.0, iterations: in
         if size <= tolerance or still >= 3:
             break
         steps.append((inverse @ error).tolist())
+    else:
+        error = np.asarray(expected_totals(rows, rate_of(steps, most))) - target
+        size = float(np.abs(error).max()) / max(float(np.abs(target).max()), 1.0)
+    if size > tolerance:
+        left = ", ".join(f"{d} {e:+.1f} of {t:.1f}" for d, e, t in zip(DOMAINS, error, target, strict=True))
+        logging.getLogger(__name__).warning("targets not met; expected tokens less the target: %s", left)
     return steps
 
 
@@ -142,7 +152,7 @@ def copies_of(rate: Column, id_col: str = "doc_id", seed: int = 3) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, relative: bool = False, most: float = 8.0, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_to_targets(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, relative: bool = False, most: float = math.inf, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_high, p_low, p_toxic, rate, copies (and ``keep``).
 
     weights: share of each domain in ``budget`` x all tokens; if relative, factors of the domains' present totals.
