@@ -5,8 +5,11 @@ double from ``base`` words up to ``window`` (9, 18, 35 for 35: the last doubling
 asked for). At each level below the last, every surviving 35-word window names one sub-window of the
 level's length, the one with the smallest hash: a choice by content alone, so equal windows name equal
 sub-windows, and about 2 in 27 of all positions are shuffled instead of all. Windows whose named
-sub-window occurs at one place only are dropped; the others are extended to twice the length. At the
-last level the surviving windows themselves are compared by 128-bit hashes.
+sub-window occurs at one place only are dropped; the others are extended to twice the length. The hashes
+of these levels only choose candidates: two different words or sequences of one hash let a window live
+for another level. At the last level a surviving window stands for itself: its identity is 128 bits of the
+SHA-256 of its own bytes (its words joined by one space), so no weakness of a fast hash can make different
+windows equal.
 
 What repeats is found by ``groupBy(hash)`` with the smallest and largest place: both combine before the
 shuffle, so a passage in a third of all texts costs one row per task, and the way back is a semi join
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.storage import apart, drop_table, write_table
-from quern.llm.words import BYTE_BASE, U64, WORD_BASE, WORD_BASE_2, parts, spans_hash, split, string_bytes
+from quern.llm.words import SPACE, U64, WORD_BASE, parts, spans_hash, split, string_bytes, words_hash
 from quern.shipping import ship
 
 ROW = "id long, k long, k2 long, n_words long, n_removed long, kept string, done boolean, emits boolean, text string, runs array<int>, moves boolean"
@@ -52,7 +55,7 @@ class Text:
         self.window = window
         self.data, self.offsets = string_bytes(column)
         self.starts, self.ends, self.words = split(self.data, self.offsets)
-        self.hashes = spans_hash(self.data, self.starts, self.ends, BYTE_BASE)
+        self.hashes = words_hash(self.data, self.starts, self.ends)
         self.smallest: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         n = np.diff(self.words)
         # windows: where in self.hashes each starts, and of which text
@@ -61,15 +64,31 @@ class Text:
         self.at = np.arange(len(self.of)) - np.repeat(np.cumsum(have) - have, have) + np.repeat(self.words[:-1], have)
         self.first = np.concatenate([[0], np.cumsum(have)])
 
-    def window_hash(self, at: np.ndarray, length: int, base: int) -> np.ndarray:
-        return spans_hash(self.hashes, at, at + length, base)
+    def sequence_hash(self, at: np.ndarray, length: int) -> np.ndarray:
+        return spans_hash(self.hashes, at, at + length, WORD_BASE)
+
+    def identity(self, at: np.ndarray) -> np.ndarray:
+        """Two 64-bit numbers for each window (start ``at``): of the SHA-256 of its words joined by one space."""
+        if not len(at):
+            return np.zeros((0, 2), U64)
+        # the words, each with one space after it
+        keep = ~SPACE[self.data]
+        sizes = self.ends - self.starts
+        ends = np.cumsum(sizes + 1)
+        joined = np.full(int(ends[-1]), 32, np.uint8)
+        place = np.ones(len(joined), bool)
+        place[ends - 1] = False
+        joined[place] = self.data[keep]
+        raw, begins = joined.tobytes(), (ends - sizes - 1)
+        digest = hashlib.sha256
+        return np.frombuffer(b"".join([digest(raw[i:j]).digest()[:16] for i, j in zip(begins[at].tolist(), (ends[at + self.window - 1] - 1).tolist(), strict=True)]), "<u8").reshape(-1, 2)
 
     def named(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each window (start ``at``): the place and hash of its smallest sub-window of ``length`` words, the first one of equals."""
         if not len(at):
             return at, np.zeros(0, U64)
         if length not in self.smallest:
-            h = self.window_hash(np.arange(len(self.hashes) - length + 1), length, WORD_BASE)
+            h = self.sequence_hash(np.arange(len(self.hashes) - length + 1), length)
             self.smallest[length] = h, np.lib.stride_tricks.sliding_window_view(h, self.window - length + 1)
         h, view = self.smallest[length]
         place = np.empty(len(at), np.int64)
@@ -122,8 +141,8 @@ def places(window: int, length: int):
             if not len(alive):
                 continue
             if length == window:
-                at = t.at[alive]
-                h, h2, of = t.window_hash(at, window, WORD_BASE), t.window_hash(at, window, WORD_BASE_2), t.of[alive]
+                at, of = t.at[alive], t.of[alive]
+                h, h2 = t.identity(at).T
             else:
                 at, h = t.named(length, t.at[alive])
                 at, one = np.unique(at, return_index=True)
@@ -198,14 +217,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _repeated(narrow_text.mapInArrow(places(window, steps[0]), PLACES))
     classes = source.groupBy("k", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("one"))
     info = classes.join(found, ["k", "k2"], "left").where("copies > 1 or found is not null")
-    joined = source.join(info, ["k", "k2"], "left").select("id", "text", "k", "k2", "copies", "found", (F.col("id").eqNullSafe(F.col("one")) | F.col("one").isNull()).alias("emits"))
+    # one text may be in a third of all rows: the join shares no shuffle with the aggregation, so its rows can be split
+    joined = source.join(apart(info, "k", "k2"), ["k", "k2"], "left").select("id", "text", "k", "k2", "copies", "found", (F.col("id").eqNullSafe(F.col("one")) | F.col("one").isNull()).alias("emits"))
     tables = [write_table(joined.mapInArrow(narrow(window, steps[0], False), ROW), f"substrings-{steps[0]}", by="moves")]
     for length in steps[1:]:
         last = tables[-1]
         alive = last.where("moves")
         rows = alive.select("text", "k", "k2", "runs").mapInArrow(places(window, length), PLACES)
         found = _repeated(rows)
-        joined = alive.join(found, ["k", "k2"], "left").select("id", "text", "k", "k2", "emits", "found", "runs", "done")
+        joined = alive.join(apart(found, "k", "k2"), ["k", "k2"], "left").select("id", "text", "k", "k2", "emits", "found", "runs", "done")
         final = length == window
         # texts that are removed whole went on only as places of others
         tables.append(write_table((joined.where("not done") if final else joined).mapInArrow(narrow(window, length, final), ROW), f"substrings-{length}", by="moves"))

@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd bases of the polynomial hashes of bytes and of words (two of them, for 128-bit identities).
-BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Odd base of the polynomial hashes of word sequences.
+WORD_BASE = 0xD6E8FEB86659FD93
+#: Places in a word whose random numbers are kept in a table; those of later places are made when needed.
+PLACES = 64
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,6 +40,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def place_numbers(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random number for each byte at each place of a word."""
+    return mix((place.astype(U64) << U64(8) | byte.astype(U64)) + U64(0x9E3779B97F4A7C15))
+
+
+PLACE_TABLE = place_numbers(np.tile(np.arange(256), PLACES), np.repeat(np.arange(PLACES), 256))
+
+
+def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all words of ``data``: the sum of a random number for each byte at its place, and the length.
+
+    Unlike a polynomial modulo 2**64, this has no two patterns that are equal for every base.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    byte = data[~SPACE[data]].astype(np.int64)
+    numbers = PLACE_TABLE[np.minimum(place, PLACES - 1) << 8 | byte]
+    late = np.flatnonzero(place >= PLACES)
+    if len(late):
+        numbers[late] = place_numbers(byte[late], place[late])
+    return mix(np.add.reduceat(numbers, first) + sizes.astype(U64) * U64(0xA0761D6478BD642F))
+
+
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hashes of values[start:end], each in constant time from prefix sums."""
     n = len(values)

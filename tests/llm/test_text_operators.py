@@ -9,7 +9,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from quern.llm import bpe, exact_dedup, language_id, mixing, secrets, simhash, substring_dedup
+from quern.llm.words import split, words_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -319,3 +322,46 @@ def test_empty_tables(nothing, vocabulary, spark):
         mixing.mix_to_targets(nothing, labels, {"high": 1.0}),
     ):
         assert out.collect() == []
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    """Thue-Morse strings and their complements have equal polynomial hashes modulo 2**64 for every base."""
+    one, two = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{rest} {one}"), (4, f"x {rest} {one}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 35, 4: 35}
+
+
+def test_word_hashes():
+    words = [b"a", b"b", b"ab", b"ba", thue_morse(1024).encode(), thue_morse(1024)[::-1].encode(), b"x" * 64, b"x" * 65, b"x" * 64 + b"y", b"\x00"]
+    data = np.frombuffer(b" ".join(words + words), np.uint8)
+    starts, ends, _ = split(data, np.array([0, len(data)]))
+    h = words_hash(data, starts, ends)
+    assert len(starts) == 2 * len(words) and h[: len(words)].tolist() == h[len(words) :].tolist() and len(set(h.tolist())) == len(set(words))
+
+
+def test_a_hot_text_can_be_split(spark):
+    """The joins of texts with what repeats stand on shuffles of their own: a text in a third of all rows is dealt to several tasks."""
+    hot = " ".join(f"h{i}" for i in range(400))
+    rows = [(i, hot if i % 3 == 0 else " ".join(f"{i}x{j}" for j in range(40))) for i in range(3000)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        out = substring_dedup.substring_dedup(docs)
+        path = next(f for f in out.inputFiles() if "substrings-9-" in f)
+        sizes = Counter()
+        table = spark.read.parquet(re.match(".*/substrings-9-[^/]*", path)[0])
+        for r in table.where("n_words = 400").groupBy(F.input_file_name()).count().collect():
+            sizes[r[0]] = r["count"]
+        assert sum(sizes.values()) >= 1000 and max(sizes.values()) <= 700
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
