@@ -31,7 +31,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scan_secrets(_table(spark, folder, "documents"), owner_col="source", repo_col="doc_id", example_owners=3)
+    return secrets.scan_secrets(_table(spark, folder, "documents"), owner_col="source", repo_col="doc_id", example_owners=3, example_repos=100)
 
 
 def op4(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,28 +1,26 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Three kinds of base spans come from patterns: ``assign`` (a password-like name and its value), ``access``
-(access-key ids) and ``hex`` (long runs of hex digits). Beside them the scan finds ``generic`` candidates:
-long tokens of high entropy with digits and letters of both cases, outside the base spans. Every value is
+(access-key ids) and ``hex`` (long runs of hex digits). Beside them every long token that holds a letter and
+a digit, outside the base spans, is a ``generic`` candidate; its looks decide nothing more. Every value is
 hashed (the value itself never leaves its text) and the hashes are counted over the corpus: in how many
-distinct repositories, and of how many distinct owners, each occurs. A value of ``example_owners`` owners
-or more is a widely copied example; others look live. Base spans are always reported; generic candidates
-only where they look live.
+distinct repositories, and of how many distinct owners, each occurs. A value of ``example_owners`` owners or
+more, or of ``example_repos`` repositories or more, is a widely copied example; others are owner-specific
+and look live. Base spans are always reported; generic candidates are reported where they look live.
 
 The counts group by (hash, owner, repository), then (hash, owner), then hash. Each step combines before
 its shuffle, so an example key in a third of all texts is one row per task and repository; the way back
 to the texts is a join whose large side Spark may split.
 
 Defined results: null text: empty, no spans. Null owner or repository: counts as one owner or repository
-of its own. One result row per input row, also for repeated or null ids. Empty table: empty result.
+of its own. Extra columns are ignored, whatever their names. Texts are scanned whole. One result row per input row, also for repeated or null ids. Empty table: empty result.
 Offsets are code points of the whole text, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,15 +39,11 @@ BASE = {
     # runs are maximal, so asking for 24 at once gives the same spans as filtering runs
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
-GENERIC = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-ENTROPY_BITS = 3.5
+GENERIC = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SCANNED = "doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, found array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def entropy(s: str) -> float:
-    return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
-
-
 def find(text: str) -> list[tuple[int, int, int, str]]:
     """(kind number, start, end, value) of base spans and generic candidates, by start, then kind."""
     out = []
@@ -66,7 +60,7 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
             at += 1
         if at < len(taken) and taken[at][0] < m.end():
             continue
-        if re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value) and entropy(value) >= ENTROPY_BITS:
+        if DIGIT.search(value) and LETTER.search(value):
             out.append((m.start(), m.end(), 3, value))
     out.sort(key=lambda x: (x[0], x[2]))
     return [(k, s, e, hashlib.sha256(v.encode()).hexdigest()[:32]) for s, e, k, v in out]
@@ -95,8 +89,8 @@ def ownership(found: DataFrame) -> DataFrame:
     return owned.groupBy("value").agg(F.count("repos").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live, max_owners.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = 3, example_repos: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live, max_owners, max_repos.
 
     owner_col and repo_col: who owns the place a text comes from, and the place; where a corpus has no
     repositories, each document is one.
@@ -106,12 +100,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = write_table(source.mapInArrow(_scan, SCANNED).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("x")).select("row", "owner", "repo", "x.*")
     seen = each.select("row", "kind", "start", "end", "value").join(ownership(each.select("value", "owner", "repo")).withColumn("value", F.concat("value", F.lit(""))), "value")
-    example = F.col("n_owners") >= example_owners
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
     reported = (F.col("kind") < 3) | ~example
     span = F.struct("start", "kind", F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), "start", "end").alias("s"))
     named = seen.groupBy("row").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(reported, span))), lambda x: x["s"]), ",").alias("spans"),
-        F.count_if(example).alias("n_example"), F.count_if(~example).alias("n_live"), F.max("n_owners").alias("max_owners"),
+        F.count_if(example).alias("n_example"), F.count_if(~example).alias("n_live"), F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"),
     )
     zero = F.lit(0).cast("long")
-    return rows.join(named, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_example", zero).alias("n_example"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("max_owners", zero).alias("max_owners"))
+    return rows.join(named, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_example", zero).alias("n_example"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("max_owners", zero).alias("max_owners"), F.coalesce("max_repos", zero).alias("max_repos"))
