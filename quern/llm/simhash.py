@@ -1,13 +1,19 @@
 """SimHash near-dedup with a binary-trie self-join of the fingerprints.
 
 Fingerprints are made from all word shingles of a whole text. Equal fingerprints become one node. Two
-fingerprints that differ in at most ``budget`` bits agree on at least two of ``budget + 2`` blocks, so
-every pair of blocks deals the fingerprints out by its bits; a link between two fingerprints is found
-under one key at least. Inside a key the sorted fingerprints are a binary trie. Node pairs are traversed
-together from the root, breadth first in array form: a pair's errors grow where the two branches differ,
-and it is pruned when they exceed the budget. A task returns a spanning forest of the links it found, at
-most one edge per fingerprint, and never the pairs. A key with more than ``split_at`` fingerprints is
-split into pairs of its trie's nodes at depth ``SPLIT_BITS`` that are within the budget.
+fingerprints that differ in at most ``budget`` bits agree on at least one of ``budget + 1`` blocks, so each
+block deals the fingerprints out by its bits; a link is found under one key at least. Inside a key the
+sorted fingerprints are a binary trie, and links come from its self-join alone: node pairs are traversed
+together from the root, breadth first in array form; a pair's errors grow where the two branches differ, and
+it is pruned when they exceed the budget. Two nodes of one fingerprint each are leaves; what is left of
+their paths is added at once. A task returns a spanning forest of the links it found, at most one edge per
+fingerprint, and never the pairs.
+
+A key of more than ``split_at`` fingerprints is cut into parts that tasks walk apart. Its cut bits are those
+that divide its own fingerprints best (sums of bits, combined before the shuffle), more of them the larger it
+is; they make nodes. A fingerprint goes to its own node; to the pair of nodes that differ in one cut bit, for
+each cut bit (there the walk starts from the two nodes); and to the fingerprints that agree outside the cut
+bits, which holds every link of two differing cut bits. With c cut bits these are c + 2 copies.
 
 Defined results: null or empty text, or no words: fingerprint zero, linked like any other. One or two
 words: the whole sequence is the one shingle. One result row per input row, also for repeated or null
@@ -26,8 +32,8 @@ classes and groups are dealt out in tiles, and a task returns a forest of its li
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +44,12 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quern.llm.components import Forest, components
 from quern.llm.exact_dedup import bitmap, passes
-from quern.llm.storage import write_table
+from quern.llm.storage import apart, write_table
 from quern.llm.words import LOWER, SPACE, mix, parts, split, string_bytes
 from quern.shipping import ship
 
-SPLIT_BITS = 8
+#: Cut bits of a large key at most; and marks of its parts (0 to 63: a pair of nodes that differ in that bit).
+CUT_BITS, WHOLE, NODE, OUTSIDE = 16, -2, -1, 64
 SIGN = np.uint64(1 << 63)
 #: Bits that may differ where near_copies asks for a similarity of 0.8: of the first fingerprint, and of both.
 BUDGET, BOTH = 20, 32
@@ -95,37 +102,38 @@ def fingerprint_texts(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.
     return prints_of(*shingle_hashes(column, shingle, seed))
 
 
-def trie_links(values: np.ndarray, groups: np.ndarray, budget: int, frontier: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Position pairs that differ in at most ``budget`` bits. values: sorted and unique inside each group; groups: where each begins, and the end.
+def trie_links(values: np.ndarray, starts: np.ndarray, budget: int, frontier: int = 1 << 18, tally: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Position pairs that differ in at most ``budget`` bits, by walking pairs of trie nodes.
 
-    At most about ``frontier`` node pairs are expanded at once; the others wait on a stack.
+    A node is a range of sorted, distinct values. starts: rows a0, a1, b0, b1 of the node pairs to start from, a
+    range twice for the pairs inside it. At most about ``frontier`` node pairs are expanded at once; the others
+    wait on a stack. tally: counts the node pairs met and the leaves among them.
     """
     ones: dict[int, np.ndarray] = {}
 
     def middle(depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         if depth not in ones:
-            ones[depth] = np.concatenate([[0], np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
+            if len(ones) > 16:
+                ones.clear()
+            ones[depth] = np.concatenate([[0], np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int32)])
         return hi - (ones[depth][hi] - ones[depth][lo])
 
-    lo, hi = groups[:-1], groups[1:]
-    stack = [(0, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)]))]
+    stack = [(0, np.concatenate([starts, np.zeros((1, starts.shape[1]), np.int64)]))]
     while stack:
         depth, pairs = stack.pop()
         a0, a1, b0, b1, errors = pairs
         same = a0 == b0
         size = (a1 - a0) * (b1 - b0)
         alive = (size > 0) & ~(same & (size == 1))
-        small = alive & ((size <= 64) | (depth == 64))
-        if small.any():
-            x0, y0, nx, ny = a0[small], b0[small], (a1 - a0)[small], (b1 - b0)[small]
-            count = nx * ny
-            which = np.repeat(np.arange(len(count)), count)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            i, j = x0[which] + k // ny[which], y0[which] + k % ny[which]
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+        leaf = alive & (size == 1)
+        if tally is not None:
+            tally.update(pairs=int(alive.sum()), leaves=int(leaf.sum()))
+        if leaf.any():
+            i, j = a0[leaf], b0[leaf]
+            near = np.bitwise_count(values[i] ^ values[j]) <= budget
             if near.any():
                 yield i[near], j[near]
-        pairs = pairs[:, alive & ~small]
+        pairs = pairs[:, alive & ~leaf]
         if not pairs.shape[1]:
             continue
         if pairs.shape[1] > frontier:
@@ -143,6 +151,18 @@ def trie_links(values: np.ndarray, groups: np.ndarray, budget: int, frontier: in
         ], axis=1)))
 
 
+def start_pairs(values: np.ndarray, groups: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the walk of each group of two values or more begins: with its root, or with the two nodes that its bit (``kind``) parts."""
+    lo, hi = groups[:-1], groups[1:]
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    bit = kind[lo]
+    cut = (bit >= 0) & (bit < OUTSIDE)
+    one = (values >> np.clip(kind, 0, 63).astype(np.uint64)) & np.uint64(1)
+    total = np.concatenate([[0], np.cumsum(one, dtype=np.int64)])
+    mid = hi - (total[hi] - total[lo])
+    return np.stack([lo, np.where(cut, mid, hi), np.where(cut, mid, lo), hi])
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Chunks of whole groups of rows sorted by ``keys``, each chunk of ``least`` rows or more, with the groups' begins and the end."""
     held: list[pa.RecordBatch] = []
@@ -174,41 +194,57 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 <
 
 
 def block_keys(budget: int, value: str) -> list[Column]:
-    """Per pair of the budget+2 blocks of a 64-bit value: its number and the bits of both blocks (the rest zero)."""
-    blocks = budget + 2
+    """Per block of the budget+1 blocks of a 64-bit value: its number and its bits (the rest zero)."""
+    blocks = budget + 1
     cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    masks = [sum(((1 << (b - a)) - 1) << a for a, b in pair) for pair in combinations([(cuts[i], cuts[i + 1]) for i in range(blocks)], 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return [F.struct(F.lit(i).alias("t"), F.expr(f"{value} & {m}L" if m != -(1 << 63) else f"{value} & shiftleft(1L, 63)").alias("key")) for i, m in enumerate(signed)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [F.struct(F.lit(i).alias("t"), F.col(value).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)]
+
 
+def bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
-def link_forest(prints: DataFrame, budget: int = 2, split_at: int = 20_000) -> DataFrame:
-    """Unique fingerprints (fp long) to edges (a, b) that connect what links of at most ``budget`` bits connect."""
+
+def cut_bits(rows: DataFrame, split_at: int) -> DataFrame:
+    """Of each key (t, key) with more than ``split_at`` rows the bits that divide it best: columns t, key, bits."""
+    hot = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > split_at)
+    sums = rows.join(apart(hot.select("key", "t", "n"), "key"), ["t", "key"]).groupBy("t", "key").agg(F.first("n").alias("n"), *(F.sum(F.call_function("shiftright", F.col("fp"), F.lit(i)).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)))
+    uneven = F.array(*(F.struct(F.abs(2 * F.col(f"s{i}") - F.col("n")).alias("d"), F.lit(i).alias("i")) for i in range(64)))
+    many = F.least(F.lit(CUT_BITS), F.ceil(F.log2(F.col("n") / split_at)) + 1).cast("int")
+    return sums.select("t", "key", F.transform(F.slice(F.sort_array(uneven), F.lit(1), many), lambda x: x["i"]).alias("bits"))
+
+
+def link_forest(prints: DataFrame, budget: int = 2, split_at: int = 8192) -> DataFrame:
+    """Unique fingerprints (fp long) to edges (a, b) that connect what links of at most ``budget`` bits connect. Parts of a large key serve budgets of 2 or less."""
     rows = prints.select("fp", F.explode(F.array(*block_keys(budget, "fp"))).alias("x")).select("fp", "x.t", "x.key")
-    hot = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > split_at).select("t", "key", F.lit(True).alias("hot"))
-    flips = [sum(1 << b for b in c) for k in range(budget + 1) for c in combinations(range(SPLIT_BITS), k)]
-    # a hot key's trie is cut at a hash-free depth: SPLIT_BITS bits spread over all blocks, so that some of them are free in every key
-    step = 64 // SPLIT_BITS
-    prefix = sum((F.shiftright(F.col("fp"), i * step + step // 2).bitwiseAND(F.lit(1)) * (1 << i) for i in range(SPLIT_BITS)), F.lit(0))
-    node = prefix.cast("int")
-    pairs = F.when(F.col("hot"), F.transform(F.array(*map(F.lit, flips)), lambda m: F.least(node, node.bitwiseXOR(m)) * (1 << SPLIT_BITS) + F.greatest(node, node.bitwiseXOR(m)))).otherwise(F.array(F.lit(-1)))
-    dealt = rows.join(hot, ["t", "key"], "left").select("fp", "t", "key", F.explode(pairs).alias("part"))
+    if budget <= 2:
+        dealt = rows.join(apart(cut_bits(rows, split_at), "key"), ["t", "key"], "left")
+    else:
+        dealt = rows.withColumn("bits", F.lit(None).cast("array<int>"))
+    mask = F.aggregate("bits", F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(bit(i)))
+    part = lambda kind, value: F.struct(kind.cast("int").alias("kind"), value.alias("part"))
+    node = F.col("fp").bitwiseAND(F.col("mask"))
+    ways = F.concat(F.array(part(F.lit(NODE), node), part(F.lit(OUTSIDE), F.col("fp").bitwiseAND(F.bitwise_not("mask")))), F.transform("bits", lambda i: part(i, node.bitwiseOR(bit(i)))))
+    dealt = dealt.withColumn("mask", mask).withColumn("way", F.explode(F.when(F.col("bits").isNull(), F.array(part(F.lit(WHOLE), F.lit(0).cast("long")))).otherwise(ways)))
+    dealt = dealt.select("fp", "t", "key", "way.kind", "way.part").withColumn("side", F.when(F.col("kind").between(0, 63), F.call_function("shiftright", F.col("fp"), F.col("kind")).bitwiseAND(F.lit(1))).otherwise(0))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, groups in grouped(batches, ["t", "key", "part"]):
+        for table, groups in grouped(batches, ["t", "key", "kind", "part"]):
             fp = table.column("fp").to_numpy()
             forest = Forest(len(fp))
-            for i, j in trie_links(fp.view(np.uint64) ^ SIGN, groups, budget):
+            starts = start_pairs(fp.view(np.uint64), groups, table.column("kind").to_numpy())
+            for i, j in trie_links(fp.view(np.uint64) ^ SIGN, starts, budget):
                 forest.union(i, j)
             child, parent = forest.edges()
             if len(child):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[parent])], ["a", "b"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "t", "key", "part").sortWithinPartitions("t", "key", "part", "fp").mapInArrow(join, "a long, b long")
+    keys = ("t", "key", "kind", "part")
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys, "side", "fp").mapInArrow(join, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, seed: int = 42, split_at: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, seed: int = 42, split_at: int = 8192, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, component (the group's number, never null), and the columns ``carry``."""
 
     ship(docs.sparkSession)
