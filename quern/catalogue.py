@@ -5,7 +5,6 @@ Double sums are compared rounded: their last bits depend on the order of additio
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import partial
 
@@ -15,10 +14,11 @@ from pyspark.sql import functions as F
 from quern.functions.expressions import predicate
 from quern.functions.types import Kind
 from quern.operators import primitives
-from quern.operators.strategies import Strategy, query
+from quern.operators.strategies import Strategy, buffered_rows, collected_pairs, query, reduced_runs, sorted_pairs
 from quern.plans.parser import parse
 from quern.plans.planner import bind
 from quern.sources.csv import read_csv
+from quern.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,8 +96,7 @@ def _bits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _csv(spark: SparkSession, folder: str) -> DataFrame:
     """nation as CSV text in a folder that all machines share, loaded with inference, and queried."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-csv-")
-    path = f"{shared.rstrip('/')}/quern-csv/{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/quern-csv/{spark.sparkContext.applicationId}"
     table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).write.mode("overwrite").csv(path, header=True)
     return query(read_csv(spark, path), "SELECT n_regionkey, SUM(n_nationkey) FROM nation WHERE n_name > 'B' GROUP BY n_regionkey")
 
@@ -107,6 +106,28 @@ def _index(spark: SparkSession, folder: str) -> DataFrame:
     return primitives.group_index(b.filtered).withColumnRenamed("k", "l_orderkey")
 
 
+def _bound(spark: SparkSession, folder: str, name: str = "high_cardinality"):
+    return bind(_line(spark, folder), parse(sql_of(CORES[name])))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.col("k").alias("l_orderkey"), F.col("v").alias("l_partkey"))
+
+
+def _buffered(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.range(1).select(F.lit(buffered_rows(_bound(spark, folder))).cast("long").alias("rows"))
+
+
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    return reduced_runs(sorted_pairs(_bound(spark, folder), True)).select(F.col("k").alias("l_orderkey"), F.col("s").alias("SUM(l_partkey)"))
+
+
+def _scatter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _bound(spark, folder, "sum_int_by_str_gt").filtered
+    index = primitives.dictionary(rows, "k", "k").withColumnRenamed("value", "k")
+    return primitives.scatter_accumulate(rows, index).select(F.col("code").cast("long").alias("code"), F.col("s").alias("SUM(l_partkey)"))
+
+
 QUERIES: dict[str, Query] = {
     **{name: partial(run, core, Strategy.HASH) for name, core in CORES.items()},
     **{name: partial(run, CORES["sum_int_by_str_gt"], strategy) for name, strategy in STRATEGIES.items()},
@@ -119,6 +140,11 @@ QUERIES: dict[str, Query] = {
     "dense_sum_int": lambda s, d: primitives.dense_sum(_line(s, d), "l_partkey"),
     "dense_sum_float": lambda s, d: primitives.dense_sum(_line(s, d), "l_extendedprice").withColumn("sum", F.round("sum", 2)),
     "group_index_phase": _index,
+    "collect_pairs_phase": lambda s, d: _named(collected_pairs(_bound(s, d))),
+    "sort_pairs_phase": lambda s, d: _named(sorted_pairs(_bound(s, d), True)),
+    "reduce_runs_phase": _runs,
+    "scatter_accumulate_phase": _scatter,
+    "buffered_rows": _buffered,
     "dict_encode_first_seen": _codes,
     "sum_int_wrapping": _wrapping,
     "csv_roundtrip_query": _csv,
@@ -136,6 +162,11 @@ ORACLE_SQL: dict[str, str] = {
     "dense_sum_int": "SELECT CAST(SUM(l_partkey) AS BIGINT) AS sum FROM lineitem",
     "dense_sum_float": "SELECT round(SUM(l_extendedprice), 2) AS sum FROM lineitem",
     "group_index_phase": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25",
+    "collect_pairs_phase": "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 25",
+    "sort_pairs_phase": "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 25",
+    "reduce_runs_phase": oracle(CORES["high_cardinality"]),
+    "scatter_accumulate_phase": """SELECT row_number() OVER (ORDER BY l_returnflag) - 1 AS code, CAST(SUM(l_partkey) AS BIGINT) AS "SUM(l_partkey)" FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag""",
+    "buffered_rows": "SELECT count(*) AS rows FROM lineitem WHERE l_quantity > 25",
     "dict_encode_first_seen": "SELECT event_type AS value, row_number() OVER (ORDER BY min(event_id), event_type) - 1 AS code FROM events GROUP BY event_type",
     "sum_int_wrapping": """SELECT l_returnflag, CAST(CASE WHEN m >= 9223372036854775808 THEN m - 18446744073709551616 ELSE m END AS BIGINT) AS "SUM(v)" FROM (
         SELECT l_returnflag, SUM(CAST(l_partkey % 20000 AS HUGEINT) * 400000000000000) % 18446744073709551616 AS m FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag)""",

@@ -68,3 +68,9 @@ def dense_sum(df: DataFrame, column: str, name: str = "sum") -> DataFrame:
 def group_index(rows: DataFrame) -> DataFrame:
     """Phase one of the hash group-by alone: the distinct keys k."""
     return rows.select("k").distinct()
+
+
+def scatter_accumulate(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Phase two alone: sums s of v by the numbers (code) that ``index`` (k, code) gives the keys k."""
+    with wrapping(rows.sparkSession):
+        return rows.join(index, "k").groupBy("code").agg(F.sum("v").alias("s"))

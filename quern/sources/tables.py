@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import ColumnLengthMismatch, UnknownColumn
@@ -26,3 +27,28 @@ def kind(df: DataFrame, column: str) -> Kind | None:
     if column not in df.columns:
         raise UnknownColumn(column, df.columns)
     return kind_of(df.schema.fields[df.columns.index(column)].dataType)
+
+
+def typed(df: DataFrame, column: str, wanted: Kind) -> DataFrame | None:
+    """The column alone, in the model's type, or None where it is of another one."""
+    return df.select(F.col(f"`{column}`").cast(SPARK[wanted]).alias(column)) if kind(df, column) is wanted else None
+
+
+def as_int64(df: DataFrame, column: str) -> DataFrame | None:
+    return typed(df, column, Kind.INT64)
+
+
+def as_float64(df: DataFrame, column: str) -> DataFrame | None:
+    return typed(df, column, Kind.FLOAT64)
+
+
+def as_utf8(df: DataFrame, column: str) -> DataFrame | None:
+    return typed(df, column, Kind.UTF8)
+
+
+def length(df: DataFrame) -> int:
+    return df.count()
+
+
+def is_empty(df: DataFrame) -> bool:
+    return df.isEmpty()

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from quern import errors, measure
 from quern.functions.types import Kind
 from quern.operators import primitives
-from quern.operators.strategies import Strategy, query, query_catalog, wrap
+from quern.operators.strategies import Strategy, buffered_rows, collected_pairs, query, query_catalog, reduced_runs, row_store, wrap
+from quern.plans.parser import parse
+from quern.plans.planner import bind
 from quern.sources import generator
-from quern.sources.tables import kind, table
+from quern.sources.shared import shared_folder
+from quern.sources.tables import as_float64, as_int64, as_utf8, is_empty, kind, length, table
 
 ALL = list(Strategy)
 
@@ -116,11 +119,87 @@ def test_plans(spark, sales, tmp_path):
     text = plan(Strategy.HASH)
     assert "HashAggregate" in text and "partial_sum" in text and text.count("Exchange") == 1
     assert "GreaterThan(price,2.0)" in text and "unused" not in text.split("ReadSchema")[1]
-    for s in (Strategy.SORT, Strategy.SORT_RADIX):
-        assert "SortAggregate" in plan(s) and plan(s).count("Exchange") == 1
+    # a strategy is still itself where the result goes on: composed with others and planned anew
+    for s, order in ((Strategy.SORT, "Sort [struct(k"), (Strategy.SORT_RADIX, "Sort [k#")):
+        out = query(df, "SELECT region, SUM(amount) FROM t WHERE price > 2 GROUP BY region", s)
+        for again in (out, out.where("`SUM(amount)` > 0").withColumn("x", F.lit(1)), out.join(out.select(F.col("region").alias("r")), F.col("region") == F.col("r"))):
+            text = again._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in text and order in text and "HashAggregate" not in text and "GreaterThan(price,2.0)" in text
+        assert plan(s).count("Exchange") == 1
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
 
 
+def executed(spark, action):
+    """The physical plans that an action ran."""
+    jvm = spark.sparkContext._jvm
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = store.executionsList(int(before), 100)
+    return [rows.apply(i).physicalPlanDescription() for i in range(rows.size())] if jvm else []
+
+
+def test_a_written_sort_is_a_sort(spark, sales, tmp_path):
+    sales.write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    for s in (Strategy.SORT, Strategy.SORT_RADIX):
+        out = query(df, "SELECT region, SUM(amount) FROM t WHERE price > 2 GROUP BY region", s)
+        plans = executed(spark, lambda out=out: measure.noop(out))
+        assert plans and all("MapInArrow" in p and "Sort" in p and "HashAggregate" not in p for p in plans)
+
+
+def test_runs_over_many_batches(spark):
+    """A run that goes on over batches, null keys and null values, wrapping sums."""
+    rows = [(None if i % 7 == 0 else f"k{i % 3}", None if i % 5 == 0 else 2**62) for i in range(3000)] + [("void", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        pairs = spark.createDataFrame(rows, "k string, v long").repartition(2, "k").sortWithinPartitions("k")
+        got = {r.k: r.s for r in reduced_runs(pairs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: dict = {}
+    for k, v in rows:
+        want[k] = want.get(k) if v is None else wrap((want.get(k) or 0) + v)
+    assert got == want
+
+
+def test_row_store_is_built_once(sales):
+    store = row_store(sales, "SELECT region, SUM(amount) FROM t WHERE price > 2 GROUP BY region")
+    assert store.build() == 5 and store.objects.is_cached
+    assert got(store.run()) == got(store.run()) == {("east", 40), ("north", 80), ("south", -20)}
+    store.drop()
+    assert not store.objects.is_cached
+
+
+def test_phases(spark, sales):
+    b = bind(sales, parse("SELECT region, SUM(amount) FROM t WHERE price > 2 GROUP BY region"))
+    assert buffered_rows(b) == 4 and collected_pairs(b).count() == 4
+    index = primitives.dictionary(b.filtered, "k", "k").withColumnRenamed("value", "k")
+    assert got(primitives.scatter_accumulate(b.filtered, index)) == {(0, 40), (1, 80), (2, -20)}
+    parts = measure.phases(sales, "SELECT region, SUM(amount) FROM t WHERE price > 2 GROUP BY region", samples=1)
+    assert parts["hash query"] > 0 and all(x >= 0 for x in parts.values())
+    for whole in ("hash query", "sort query"):
+        assert all(0 <= share < 1 and bound >= 1 for share, bound in measure.amdahl(parts, whole).values())
+
+
+def test_kernels(spark, sales):
+    q = "SELECT region, SUM(amount) FROM t WHERE price > 2 GROUP BY region"
+    with measure.kernel(spark, "interpreted"):
+        assert measure.active_kernel(spark) == "interpreted"
+        one = measure.checksum(query(sales, q))
+    with measure.kernel(spark, "generated"):
+        assert measure.active_kernel(spark) == "generated" and measure.checksum(query(sales, q)) == one
+
+
+def test_checksums(spark):
+    rows = [("a", 1, 0.1 + 0.2), (None, None, None), ("é", -5, 1e300)]
+    df = spark.createDataFrame(rows, "k string, n long, x double")
+    same = spark.createDataFrame([("é", -5, 1e300), ("a", 1, 0.3), (None, None, None)], df.schema).repartition(3)
+    assert measure.checksum(df) == measure.checksum(same) != measure.checksum(df.where("n = 1"))
+    assert measure.checksum(df) != measure.checksum(df.withColumn("n", F.col("n") + 1))
+
+
 def test_catalog(spark, sales):
     sales.createOrReplaceTempView("sales")
     assert len(got(query_catalog(spark, "SELECT region, SUM(amount) FROM sales WHERE price > 2 GROUP BY region"))) == 3
@@ -149,6 +228,24 @@ def test_tables(spark, sales):
     assert [kind(sales, c) for c in sales.columns] == [Kind.UTF8, Kind.INT64, Kind.FLOAT64]
     with pytest.raises(errors.UnknownColumn):
         kind(sales, "x")
+    assert [x[0] for x in as_int64(sales, "amount").collect()] == [10, -20, 30, 40, 50] and as_int64(sales, "price") is None
+    assert as_float64(sales, "price").count() == 5 and as_float64(sales, "amount") is None
+    assert as_utf8(sales, "region").first()[0] == "north" and as_utf8(sales, "amount") is None
+    with pytest.raises(errors.UnknownColumn):
+        as_utf8(sales, "x")
+    assert length(sales) == 5 and not is_empty(sales) and is_empty(sales.where("false"))
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, getConf, getCheckpointDir = "spark://host:7077", spark.sparkContext.getConf, staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+    monkeypatch.setattr(Context, "getConf", lambda: {}, raising=False)
+    with pytest.raises(ValueError, match="share"):
+        shared_folder(Session)
 
 
 def sequential(seed, n):
