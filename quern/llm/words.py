@@ -53,17 +53,23 @@ def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
     Unlike a polynomial modulo 2**64, this has no two patterns that are equal for every base.
     """
-    if not len(starts):
-        return np.zeros(0, U64)
+    out = np.zeros(len(starts), U64)
     sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    byte = data[~SPACE[data]].astype(np.int64)
-    numbers = PLACE_TABLE[np.minimum(place, PLACES - 1) << 8 | byte]
-    late = np.flatnonzero(place >= PLACES)
-    if len(late):
-        numbers[late] = place_numbers(byte[late], place[late])
-    return mix(np.add.reduceat(numbers, first) + sizes.astype(U64) * U64(0xA0761D6478BD642F))
+    total = np.cumsum(sizes)
+    byte, at = data[~SPACE[data]], 0
+    while at < len(starts):  # about 256 KB of words at a time
+        done = int(total[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(total, done + (1 << 18), "right")))
+        own, first = sizes[at:to], total[at:to] - sizes[at:to] - done
+        place = np.arange(int(total[to - 1]) - done) - np.repeat(first, own)
+        here = byte[done : int(total[to - 1])].astype(np.int64)
+        numbers = PLACE_TABLE[np.minimum(place, PLACES - 1) << 8 | here]
+        late = np.flatnonzero(place >= PLACES)
+        if len(late):
+            numbers[late] = place_numbers(here[late], place[late])
+        out[at:to] = np.add.reduceat(numbers, first)
+        at = to
+    return mix(out + sizes.astype(U64) * U64(0xA0761D6478BD642F))
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
