@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quern.llm.components import Forest, components
-from quern.llm.exact_dedup import bitmap, passes
+from quern.llm.exact_dedup import bloom, filter_words, may_hold
 from quern.llm.storage import apart, write_table
 from quern.llm.words import LOWER, SPACE, mix, parts, split, string_bytes
 from quern.shipping import ship
@@ -406,6 +406,7 @@ def near_copies(docs: DataFrame, place: tuple[str, ...], id_col: str = "doc_id",
     one = rows.join(groups, "node").groupBy("node").agg(F.min(F.struct(*place)).alias("x"), F.min("component").alias("component"))
     digest = F.concat_ws(" ", *place).alias("digest")
     one = write_table(one.select("node", "component", "x.*").select("node", "component", digest), "proposed")
-    texts = source.select(digest, "text").where(passes(bitmap(one.select("digest")))).join(one, "digest").select("component", "node", "text")
+    words = filter_words(one.count())
+    texts = source.select(digest, "text").where(may_hold(write_table(bloom(one.select("digest"), words), "filters"), F.col("digest"), words)).join(one, "digest").select("component", "node", "text")
     found = components(checked(texts, shingle, similarity, budget, both, seed))
     return rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), *place)

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where none is set (local tests), a temporary one that is then set."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-    return context.getCheckpointDir()
+from quern.sources.shared import shared_folder
 
 
 def write_table(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
@@ -29,7 +18,7 @@ def write_table(df: DataFrame, name: str, by: str | None = None, **options: str)
     files are parted by, so that drop_table() can delete one part.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quern-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quern-tables/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path

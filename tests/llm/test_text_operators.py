@@ -91,6 +91,30 @@ def test_exact(docs, texts, bits, keep):
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_filters_spare_the_merge(spark):
+    """Compaction merges only what other runs may hold; the filters' size follows what they hold; nothing is lost."""
+    rows = spark.range(4000).selectExpr("unhex(sha2(cast(if(id % 40 = 0, 7, id) as string), 256)) as digest", "id as quick", "id as rank", "id as place")
+    runs = exact_dedup.flush(rows, 4)
+    words = exact_dedup.filter_words(1000)
+    filters = exact_dedup.run_filters(runs, 4, words)
+    entries = runs.count()
+    merged = runs.where(exact_dedup.elsewhere(filters, words)).count()
+    shared = runs.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").agg(F.sum("n")).first()[0]
+    assert shared == 4 and shared <= merged < 0.3 * entries
+    got = exact_dedup.compact(runs, filters, words)
+    assert got.count() == 3900 and got.agg(F.sum("rows")).first()[0] == 4000
+    assert [exact_dedup.filter_words(n) for n in (0, 1000, 10**6, 10**12)] == [64, 128, 1 << 17, exact_dedup.MOST_WORDS]
+    held = spark.range(500).select(F.col("id").alias("x"))
+    f = exact_dedup.bloom(held, 64)
+    probes = spark.range(5000).select(exact_dedup.may_hold(f, F.col("id"), 64).alias("hit"), "id").where("hit").collect()
+    assert {r.id for r in probes} >= set(range(500)) and len(probes) < 1000
+
+
+def test_exact_dedup_is_native(docs):
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def fingerprint(text):
     w = WORD.findall((text or "").translate(LOWER))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] * bool(w)
