@@ -40,13 +40,61 @@ def test_embeddings(vectors, split_at):
         label = [min([label[a], *(label[b] for b in near[a])]) for a in range(len(rows))]
     least = {c: min((rows[a][0] for a in range(len(rows)) if label[a] == c and rows[a][0] is not None), default=None) for c in label}
     want = sorted(repr((rows[a][0], len(near[a]), least[label[a]])) for a in range(len(rows)))
-    got = embedding_dedup.embedding_dedup(df, split_at=split_at).collect()
+    # extra columns with names that the operator uses inside
+    got = embedding_dedup.embedding_dedup(df.selectExpr("*", "1 as node", "2 as v", "3 as usable", "4 as n", "5 as component"), split_at=split_at).collect()
     assert len(got) == len(rows)
     assert sum(r.n_links for r in got) >= 0.9 * sum(map(len, near))
     assert sorted(repr((r.vec_id, r.n_links, r.component_id)) for r in got) == want  # the seed finds all links here
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_plan_of_tables():
+    """Small tables have six projections; beyond, unrelated mates stay level and the probability of a link's bucket is kept."""
+    assert embedding_dedup.plan(0, 0.93, 1.4, 0.9995) == embedding_dedup.plan(500, 0.93, 1.4, 0.9995)
+    near, far = (embedding_dedup.same_cell(x, 1.4) for x in (2**0.5 * 0.07**0.5, 2**0.5))
+    for n in (10, 1000, 10**5, 10**7):
+        tables, projections = embedding_dedup.plan(n, 0.93, 1.4, 0.9995)
+        assert n * far**projections <= embedding_dedup.MATES and 1 - (1 - near**projections) ** tables >= 0.9995
+        assert tables <= 45 * max(n, 100) ** 0.26 / 100**0.2
+
+
+def test_mates_of_sketches():
+    r = np.random.default_rng(4)
+    group = np.repeat(np.arange(60), r.choice([1, 2, 3, 40, 70, 700], 60, p=[0.3, 0.3, 0.2, 0.1, 0.08, 0.02]))
+    own = r.integers(0, 2, len(group))
+    p, q = np.zeros(len(group), int), np.repeat(r.integers(0, 2, 60), np.bincount(group))
+    own[q == 0] = 0
+    sketch = r.integers(-(1 << 62), 1 << 62, len(group))
+    sketch[r.random(len(group)) < 0.1] = sketch[0] ^ 5
+    got = embedding_dedup.has_mate(group, own, p, q, sketch)
+    for i in range(len(group)):
+        others = (group == group[i]) & (np.arange(len(group)) != i) & ((q == 0) | (own != own[i]))
+        assert got[i] == any((int(x) & (1 << 64) - 1 ^ int(sketch[i]) & (1 << 64) - 1).bit_count() <= embedding_dedup.SKETCH_BITS for x in sketch[others])
+
+
+def test_embeddings_of_several_sizes(spark):
+    """Recall and the pairs of sketches compared, at 1, 10 and 50 times the vectors of one label."""
+    per_row = []
+    for n in (400, 4000, 20_000):
+        rng = np.random.default_rng(n)
+        x = rng.standard_normal((n, 32)).astype(np.float32)
+        copies = rng.choice(n // 2, n // 5)
+        x[-len(copies) :] = x[copies] + rng.standard_normal((len(copies), 32)).astype(np.float32) * rng.uniform(0.02, 0.3, (len(copies), 1)).astype(np.float32)
+        df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(4)
+        u = x.astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        want = np.concatenate([(u[a : a + 1000] @ u.T >= 0.93).sum(axis=1) - 1 for a in range(0, n, 1000)])
+        got = np.zeros(n, int)
+        for r in embedding_dedup.embedding_dedup(df).collect():
+            got[r.vec_id] = r.n_links
+        assert (got <= want).all() and got.sum() >= 0.98 * want.sum() > 0
+        tables, projections = embedding_dedup.plan(n, 0.93, 1.4, 0.9995)
+        classes = df.selectExpr("vec_id as node", "label", "embedding as v")
+        sizes = embedding_dedup.dealt_rows(classes, embedding_dedup.Hasher(tables, projections, 1.4, 7), 4096).groupBy("t", "key").count().where("count > 1")
+        per_row.append(sizes.selectExpr("sum(count * (count - 1) / 2)").first()[0] / n)
+    assert per_row[2] < 4 * per_row[1] and per_row[2] < 60 * embedding_dedup.MATES
+
+
 def test_no_embeddings(vectors):
     assert embedding_dedup.embedding_dedup(vectors[1].where("false")).collect() == []
 
