@@ -8,14 +8,16 @@ prototype has the largest cosine with the text's vector; ties go to the smaller
 
 Letters are what str.isalpha says, in lower case; runs of anything else count as one space, and n-grams
 run over the text's edges as if a space stood there. The texts of a slice share one table of their
-n-grams' vectors, so the bundles are one matrix product: counts times vectors.
+n-grams' vectors, so the bundles are matrix products: counts times vectors. Slices are bounded in bytes and in
+rows, and the counts in texts and n-grams, so memory doesn't follow how short the texts are.
 
 Training reads texts and non-null languages of the rows the caller marks, at most about ``train_rows`` of
 them (a row joins by a hash of its id; everything is used where there are fewer). Per task it returns one
 vector per language, which Spark sums; the driver gets languages x dimension numbers.
 
 Defined results: null text or one without letters: ``und``, score 0. No training rows: ``und`` for all,
-score 0. Score: the cosine, negative values as 0. One result row per input row, empty table: empty result.
+score 0. Score: the cosine, negative values as 0. Texts are read whole. One result row per input row, also for
+null and repeated ids; empty table: empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,8 +88,14 @@ def bundles(texts: list[str | None], n: int, dimension: int, seed: int) -> tuple
         for i in range(n):
             bound *= np.roll(letters[v // len(alphabet) ** (n - 1 - i) % len(alphabet)], i, axis=1)
         some = (gram >= lo) & (gram < lo + len(v))
-        counts = np.bincount(of[some] * len(v) + gram[some] - lo, minlength=len(texts) * len(v)).reshape(len(texts), len(v))
-        out += counts.astype(np.float32) @ bound.astype(np.float32)
+        mine, which, vectors = of[some], gram[some] - lo, bound.astype(np.float32)
+        # texts by the block: the counts are a table of texts times n-grams
+        for a in range(0, len(texts), 256):
+            i, j = np.searchsorted(mine, [a, a + 256])
+            if i < j:
+                rows = min(256, len(texts) - a)
+                counts = np.bincount((mine[i:j] - a) * len(v) + which[i:j], minlength=rows * len(v)).reshape(rows, len(v))
+                out[a : a + rows] += counts.astype(np.float32) @ vectors
     out[~has] = 0
     return out, has
 
@@ -110,7 +118,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in parts(batches, "text", 1 << 19):
+        for batch in parts(batches, "text", 1 << 19, 2048):
             vectors, _ = bundles(batch.column("text").to_pylist(), n, dimension, seed)
             langs = np.asarray(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -138,7 +146,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, text_col, 1 << 19):
+        for batch in parts(batches, text_col, 1 << 19, 2048):
             vectors, has = bundles(batch.column(text_col).to_pylist(), n, dimension, seed)
             best, value = np.full(len(has), UNDETERMINED, object), np.zeros(len(has))
             if model is not None:

@@ -104,14 +104,14 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about most_bytes of text each (one longer text is a slice of its own), so that memory follows the longest text and not the batch."""
+def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about most_bytes of text and at most most_rows rows each (one longer text is a slice of its own), so that memory follows the longest text and not the batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = string_bytes(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+            to = min(at + most_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
