@@ -5,11 +5,14 @@ the vocabulary whether the whole pre-token is a token: one hash, one displacemen
 bytes. Tier two merges the rest: the bytes are a linked list, a heap holds the ranks of neighbouring
 pairs, and stale heap entries are skipped when they come up; n bytes take O(n log n).
 
-Texts stay whole, so a pre-token is never cut. Each worker remembers the ids of up to ``remember``
-pre-tokens in two generations; forgetting costs time only.
-
-Defined results: null text: as empty, no ids. Ids are little-endian unsigned 32-bit integers in one
-binary value per text; the decoded bytes come from the ids alone. One result row per input row.
+Texts stay whole, so a pre-token is never cut, however long. Each worker remembers the ids of pre-tokens in two
+generations of up to ``remember`` bytes each, beside those of the slice of texts at hand; forgetting costs time
+only.
+
+Defined results: null text: as empty, no ids. One result row per input row, also for null and repeated ids and
+repeated rows; empty table: empty result. Extra columns are ignored, whatever their names. Of pairs of equal rank
+the leftmost is merged first. Ids are little-endian unsigned 32-bit integers in one
+binary value per text; the decoded bytes come from the ids alone.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import base64
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from quern.llm.words import mix, parts
 from quern.shipping import ship
 
 ODD = 0x9E3779B97F4A7C15
+#: Bytes of an entry of a dictionary beside its key and value, about.
+ENTRY = 100
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -88,7 +94,7 @@ class PerfectHash:
 class Tokenizer:
     """Encodes by ranks; built once on the driver and sent to the executors (about 2 MB for 50,000 tokens)."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, remember: int = 400_000):
+    def __init__(self, tokens: list[bytes], pattern: str, remember: int = 80 << 20):
         self.tokens, self.pattern, self.remember = tokens, pattern, remember
         self.whole = PerfectHash(tokens)
 
@@ -98,6 +104,7 @@ class Tokenizer:
         self.split = regex.compile(self.pattern).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young
 
     def merge(self, word: bytes) -> list[int]:
         """Ranks of a word's tokens: the pair of lowest rank first, the leftmost of equals."""
@@ -127,19 +134,25 @@ class Tokenizer:
         new = [w for w in words if w not in self.young]
         known = [w for w in new if w in self.old]
         new = [w for w in new if w not in self.old]
-        if len(self.young) > self.remember:
-            self.old, self.young = self.young, {w: self.young[w] for w in words if w in self.young}
-        self.young.update((w, self.old[w]) for w in known if w in self.old)
-        new += [w for w in known if w not in self.young]
+        if self.held > self.remember:
+            self.old, self.young, self.held = self.young, {}, 0
+            known = [w for w in words if w in self.old]
+            new = [w for w in words if w not in self.old]
+        for w in known:
+            self.keep(w, self.old[w])
         if new:
             raw = [w.encode() for w in new]
             ids = np.empty(1, "<u4")
             for w, b, i in zip(new, raw, self.whole.find(raw).tolist(), strict=True):
                 if self.tokens[i] == b:
                     ids[0] = i
-                    self.young[w] = ids.tobytes()
+                    self.keep(w, ids.tobytes())
                 else:
-                    self.young[w] = np.asarray(self.merge(b), "<u4").tobytes()
+                    self.keep(w, np.asarray(self.merge(b), "<u4").tobytes())
+
+    def keep(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += getsizeof(word) + getsizeof(ids) + ENTRY
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -153,7 +166,7 @@ class Tokenizer:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, remember: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, remember: int = 80 << 20) -> DataFrame:
     """One row per document: doc_id, ids (binary), n_tokens, and decoded (binary; made from the ids) if asked for.
 
     vocabulary: a file of base64 tokens and ranks that the driver reads.
