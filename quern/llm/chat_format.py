@@ -6,7 +6,8 @@ The rendered text is read back by a deterministic parser: cut at every "</turn>"
 role up to the first ": ", and a text without "###"; then escapes are undone. The turns it recovers are
 compared with the source. At first nothing is escaped. Turns that don't come back as they were are escaped
 and the conversation is rendered and read again; if it still differs, all of its turns are escaped, which
-is always read back: escaped parts hold no control string, and each backslash starts one escape.
+comes back: escaped parts hold no control string, and each backslash starts one escape. That is read back and
+compared as well; a difference would be an error, never a wrong row.
 
 Escapes, undone in reverse order: backslash -> \0, </turn> -> \1, ### -> \2, and in roles ": " -> \3.
 
@@ -73,7 +74,9 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     # the levels are tried in order; a later one is made only where the earlier one was read back otherwise
     convs = convs.withColumn("level0", identical(F.col("source"), F.col("source")))
     convs = convs.withColumn("turns1", F.when(~F.col("level0"), some)).withColumn("level1", F.when(~F.col("level0"), identical(F.col("turns1"), F.col("source"))))
-    turns = F.when(F.col("level0"), F.col("source")).when(F.col("level1"), F.col("turns1")).otherwise(F.transform("source", safe))
+    convs = convs.withColumn("turns2", F.when(~F.col("level0") & ~F.col("level1"), F.transform("source", safe)))
+    failed = F.raise_error(F.lit("a conversation doesn't come back from its formatted text"))
+    turns = F.when(F.col("level0"), F.col("source")).when(F.col("level1"), F.col("turns1")).when(identical(F.col("turns2"), F.col("source")), F.col("turns2")).otherwise(failed)
     level = F.when(F.col("level0"), 0).when(F.col("level1"), 1).otherwise(2)
     convs = convs.select("conv_id", "source", level.alias("level"), turns.alias("turns"))
     # where each turn starts, from the lengths before it
