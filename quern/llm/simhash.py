@@ -23,11 +23,13 @@ result. Other columns are ignored.
 ``near_copies`` is for a stage that asks for a similarity of the texts. Fingerprints only propose there;
 the Jaccard similarity of the sets of shingles (64-bit hashes) decides. Texts of equal sets are one node
 with two fingerprints. Similarity 0.8 leaves 19 of 128 bits apart on average, so the budget is
-``BUDGET`` bits in the first 64 and ``BOTH`` in all. A trie can't prune within its first ``budget`` levels,
-which hold all nodes there are, so blocks of fingerprints are compared whole; only sets whose sizes allow
-the similarity meet (classes of sizes, each with its neighbour). What is proposed makes groups; inside a
-group every pair within the budget is checked, unless other checked links connect it already. Large
-classes and groups are dealt out in tiles, and a task returns a forest of its links.
+``BUDGET`` bits in the first 64 and ``BOTH`` in all. Blocks can't deal out, nor a trie prune, at such a budget:
+fingerprints meet where one of ``MINIMA`` hash minima of their sets agrees (each agrees with the probability of
+the similarity: 0.2^6, 6 in 100,000 at 0.8, have none) and sizes allow the similarity (classes of sizes, each
+with its neighbour), and are compared whole there. So a fingerprint meets those that share a shingle, not all of
+its size. What is proposed makes groups; inside a group every pair within the budget is checked, unless other
+checked links connect it already. Large keys and groups are dealt out in tiles, and a task returns a forest of
+its links.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from quern.llm.components import Forest, components
 from quern.llm.exact_dedup import bloom, filter_words, may_hold
@@ -53,6 +55,8 @@ CUT_BITS, WHOLE, NODE, OUTSIDE = 16, -2, -1, 64
 SIGN = np.uint64(1 << 63)
 #: Bits that may differ where near_copies asks for a similarity of 0.8: of the first fingerprint, and of both.
 BUDGET, BOTH = 20, 32
+#: Hash minima of a set that near_copies deals out by.
+MINIMA = 6
 
 
 def shingle_hashes(column: pa.Array, shingle: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +280,17 @@ def sets_of(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.n
     return hashes, n, prints_of(hashes, n), prints_of(mix(hashes), n)
 
 
+def minima(hashes: np.ndarray, n: np.ndarray, many: int = MINIMA) -> list[np.ndarray]:
+    """Per text the smallest of its hashes under each of several random orders; all ones where it has none."""
+    out = [np.full(len(n), np.uint64((1 << 64) - 1)) for _ in range(many)]
+    full = np.flatnonzero(n)
+    if len(full):
+        begins = (np.cumsum(n) - n)[full]
+        for i in range(many):
+            out[i][full] = np.minimum.reduceat(mix(hashes + np.uint64((i + 1) * 0xA0761D6478BD642F % (1 << 64))), begins)
+    return out
+
+
 def block_links(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray] | None, budget: int, both: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions in x and in y (None: x itself, each pair once) within the budgets, and their distances."""
     other = x if y is None else y
@@ -310,9 +325,9 @@ def tile_links(part: np.ndarray, guest: np.ndarray, fp: np.ndarray, fp2: np.ndar
 
 
 def tiles(df: DataFrame, key: str, node: str, side: Column) -> DataFrame:
-    """Each row under every tile of its key that its part stands in: columns lo, hi and part (0 or 1). side: parts of the key."""
+    """Each row under every tile of its key that its part stands in: columns lo, hi and part (0 or 1). side: parts of the key. Rows alone under their key go."""
     part, q = F.pmod(F.xxhash64(node, F.lit(7)), F.col("sides")).cast("int"), F.col("q")
-    sizes = df.groupBy(key).agg(F.count("*").alias("m")).select(key, F.greatest(F.lit(1), side).cast("int").alias("sides"))
+    sizes = df.groupBy(key).agg(F.count("*").alias("m")).where("m > 1").select(key, F.greatest(F.lit(1), side).cast("int").alias("sides"))
     # the key is made anew: the join shares no shuffle with the aggregation, so a large key's rows can be split
     sizes = sizes.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
     spread = df.join(sizes, key).withColumn("mine", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
@@ -320,24 +335,33 @@ def tiles(df: DataFrame, key: str, node: str, side: Column) -> DataFrame:
 
 
 def proposed(nodes: DataFrame, similarity: float, budget: int, both: int) -> DataFrame:
-    """Nodes (node, n, fp, fp2) to edges (a, b) that connect what fingerprints and sizes allow to be similar."""
+    """Nodes (node, n, fp, fp2, minima) to edges (a, b) that connect what minima, sizes and fingerprints allow to be similar."""
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(-np.log(similarity) * (1 + 1e-9))).cast("int")
-    dealt = nodes.select("node", "fp", "fp2", size_class.alias("c")).select("node", "fp", "fp2", F.posexplode(F.array(F.col("c"), F.col("c") + 1)).alias("guest", "class"))
+    dealt = nodes.where("n > 0").select("node", "fp", "fp2", size_class.alias("c"), F.posexplode("minima").alias("i", "least"))
+    dealt = dealt.select("node", "fp", "fp2", "i", "least", F.posexplode(F.array(F.col("c"), F.col("c") + 1)).alias("guest", "class")).select("node", "fp", "fp2", "guest", F.xxhash64("i", "least", "class").alias("key"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in grouped(batches, ["class", "lo", "hi"]):
+        for table, at in grouped(batches, ["key", "lo", "hi"]):
             node, part, guest, fp, fp2 = (table.column(c).to_numpy() for c in ("node", "part", "guest", "fp", "fp2"))
-            for a, b in zip(at[:-1], at[1:], strict=True):
+            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+            # pairs of two rows at once; most keys have no more
+            two = at[:-1][np.diff(at) == 2]
+            meet = (part[two] != part[two + 1]) | (table.column("lo").to_numpy()[two] == table.column("hi").to_numpy()[two])
+            first = np.bitwise_count(fp[two] ^ fp[two + 1])
+            near = meet & ((guest[two] == 0) | (guest[two + 1] == 0)) & (first <= budget) & (first + np.bitwise_count(fp2[two] ^ fp2[two + 1]) <= both)
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[two[near]]), pa.array(node[two[near] + 1])], ["a", "b"])
+            for a, b in zip(at[:-1][np.diff(at) > 2].tolist(), at[1:][np.diff(at) > 2].tolist(), strict=True):
                 forest = Forest(b - a)
-                i, j, _ = tile_links(part[a:b], guest[a:b] > 0, fp[a:b].view(np.uint64), fp2[a:b].view(np.uint64), budget, both)
+                i, j, _ = tile_links(part[a:b], guest[a:b] > 0, fp[a:b], fp2[a:b], budget, both)
                 forest.union(i, j)
                 child, parent = forest.edges()
                 if len(child):
                     yield pa.RecordBatch.from_arrays([pa.array(node[a:b][child]), pa.array(node[a:b][parent])], ["a", "b"])
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ("class", "lo", "hi")
-    return tiles(dealt, "class", "node", F.ceil(F.sqrt("m") / 24)).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
+    keys = ("key", "lo", "hi")
+    return tiles(dealt, "key", "node", F.when(F.col("m") <= 512, 1).otherwise(F.ceil(F.sqrt("m") / 24))).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
 
 
 def checked(texts: DataFrame, shingle: int, similarity: float, budget: int, both: int, seed: int) -> DataFrame:
@@ -395,12 +419,13 @@ def near_copies(docs: DataFrame, place: tuple[str, ...], id_col: str = "doc_id",
             hashes, n, fp, fp2 = sets_of(batch.column("text"), shingle, seed)
             ends = np.cumsum(n)
             node = np.fromiter((xxhash.xxh3_64_intdigest(hashes[b - k : b].tobytes()) for b, k in zip(ends.tolist(), n.tolist(), strict=True)), np.uint64, len(n))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *place)), pa.array(node.view(np.int64)), pa.array(n, pa.int32()), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64))], ["doc_id", *place, "node", "n", "fp", "fp2"])
+            least = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(minima(hashes, n), axis=1).ravel().view(np.int64)), MINIMA).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *place)), pa.array(node.view(np.int64)), pa.array(n, pa.int32()), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), least], ["doc_id", *place, "node", "n", "fp", "fp2", "minima"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *place, F.col(text_col).alias("text"))
-    new = [StructField(c, IntegerType() if c == "n" else LongType()) for c in ("node", "n", "fp", "fp2")]
+    new = [StructField(c, IntegerType() if c == "n" else ArrayType(LongType()) if c == "minima" else LongType()) for c in ("node", "n", "fp", "fp2", "minima")]
     rows = write_table(source.mapInArrow(prints, StructType([f for f in source.schema.fields if f.name != "text"] + new)), "fingerprints")
-    nodes = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "fp", "fp2")))
+    nodes = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "fp", "fp2", "minima")))
     groups = components(proposed(nodes, similarity, budget, both))
     # of each proposed node one text is read
     one = rows.join(groups, "node").groupBy("node").agg(F.min(F.struct(*place)).alias("x"), F.min("component").alias("component"))
