@@ -153,6 +153,12 @@ def test_chats_come_back(chats):
     assert shown[200].level == 0 and "</turn>" not in shown[-7].formatted.split("### user: ")[1].split("</turn>")[0]
 
 
+def test_chats_with_clashing_columns(chats):
+    plain = chats[1].where("conv_id < 5")
+    more = plain.selectExpr("*", "1 as source", "2 as turns", "3 as formatted", "4 as mask", "5 as level", "6 as rows")
+    assert sorted(map(repr, chat_format.digests(chat_format.format_chats(more)).collect())) == sorted(map(repr, chat_format.digests(chat_format.format_chats(plain)).collect()))
+
+
 def test_no_chats(chats):
     assert chat_format.digests(chat_format.format_chats(chats[1].where("false"))).collect() == []
 

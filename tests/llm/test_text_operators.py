@@ -394,6 +394,68 @@ def test_language(spark):
     assert [got[i].lang_pred for i in (1000, 1001, 1003)] == ["und"] * 3 and got[1002].lang_pred == "de" and got[None].lang_pred == "en"
 
 
+def test_language_against_slow_profiles(spark):
+    """Training and prediction without arrays of texts: sums of unit bundles, less the mean, cosines."""
+    import zlib
+
+    r = random.Random(7)
+    words = {"en": "the and with thing house water".split(), "de": "und der schön straße wasser haus".split(), "fr": "les des eau maison été vous".split()}
+    rows = [(i, " ".join(r.choice(words[lang] + words["en"][:2]) for _ in range(r.randint(1, 6))), lang) for i, lang in enumerate(list(words) * 25)]
+    rows += [(200, None, "en"), (201, "", "de"), (202, "12!", "fr"), (203, "Straße", None), (203, "Straße", None), (None, "les eau", "fr"), (204, "maison " * 3000, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "'x' as lang_pred", "2 as v", "3 as held_out", "4 as source")
+    unit = lambda x: x / (np.linalg.norm(x) or 1)
+    vectors = {t: unit(slow_bundle(t, 3, 256, 11)) if any(c.isalpha() for c in t) else None for t in {t or "" for _, t, _ in rows}}
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 4 == 2
+    model: dict = defaultdict(lambda: np.zeros(256))
+    for i, t, lang in rows:
+        if not held(i) and t is not None and lang is not None:
+            model[lang] = model[lang] + (vectors[t] if vectors[t] is not None else 0)
+    model = {k: unit(v) for k, v in model.items()}
+    mean = sum(model.values()) / len(model)
+    model = {k: unit(v - mean) for k, v in model.items()}
+    want = []
+    for i, t, _ in rows:
+        v = vectors[t or ""]
+        cosines = {k: float(v @ m) for k, m in model.items()} if v is not None else {"und": 0.0}
+        best = min(cosines, key=lambda k: (-cosines[k], k))
+        want.append((i, held(i), best, round(max(cosines[best], 0), 5)))
+    got = [(x.doc_id, x.held_out, x.lang_pred, round(x.score, 5)) for x in language_id.identify(df, dimension=256).collect()]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=2e-5)
+
+
+def test_short_texts_take_bounded_memory():
+    """10,000 short texts of random letters make a slice of 470 KB; no table of all of them by all n-grams is made."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quern.llm.words import parts
+
+    r = random.Random(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(47)) for _ in range(10_000)])], ["text"])
+    slices = list(parts(iter([batch]), "text", 1 << 19, 2048))
+    assert sum(x.num_rows for x in slices) == 10_000 and max(x.num_rows for x in slices) <= 2048
+    texts = slices[0].column("text").to_pylist()
+    language_id.letter_table()
+    tracemalloc.start()
+    language_id.bundles(texts, 3, 1024, 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20
+
+
+def test_remembered_pre_tokens_are_bounded_in_bytes(vocabulary, reference):
+    t = bpe.Tokenizer(bpe.read_ranks(vocabulary[0]), vocabulary[1], 200_000)
+    t.start()
+    for i in range(30):
+        text = "".join(chr(97 + (i * j * j) % 26) for j in range(20_000))
+        assert np.frombuffer(t.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+        held = sum(len(k) + len(v) for d in (t.young, t.old) for k, v in d.items())
+        assert held < 700_000
+
+
 def test_language_of_no_training_rows(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language_id.identify(df).collect()] == [("und", 0.0)]
@@ -514,6 +576,17 @@ def test_mixing_keeps_clean_documents(mixture):
             assert (r.rate < 0.5) == (r.doc_id % 5 == 4)
 
 
+def test_mixing_of_odd_rows(spark, mixture):
+    """A very long text, null and repeated ids and rows, and extra columns of the operator's own names."""
+    docs, labels, _ = mixture
+    odd = spark.createDataFrame([(9000, "w1 good " * 60_000), (None, "vile nasty"), (9001, None), (9001, None), (9002, " \t\n")], "doc_id long, text string")
+    more = docs.union(odd).selectExpr("*", "1 as words", "2 as s", "3 as e", "4 as h", "5 as x", "6 as copies", "7 as miss_high")
+    got = mixing.mix_to_targets(more, labels, {"high": 0.7, "low": 0.25, "toxic": 0.05}).collect()
+    assert len(got) == docs.count() + 5
+    by = {r.doc_id: r for r in got}
+    assert by[9000].n_tokens == 120_000 and by[9001].n_tokens == by[9002].n_tokens == 0 and by[9001].p_high == by[9002].p_high
+
+
 def test_mixing_without_labels(spark, mixture):
     docs, labels, rows = mixture
     got = mixing.mix_to_targets(docs, labels.where("false"), {"high": 1.0}, budget=0.5).collect()
