@@ -17,7 +17,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.catalogue import CORES, QUERIES, table
-from quern.measure import KERNELS, Arm, alternate, amdahl, checksum, environment, kernel, noop, phases, report
+from quern.measure import KERNELS, Arm, alternate, amdahl, canary, checksum, environment, kernel, noop, phases, report
 from quern.operators.strategies import Strategy, query, row_store
 from quern.sources.generator import amount_threshold, generate
 
@@ -57,6 +57,7 @@ def point(spark: SparkSession, rows: int, cardinality: int, fraction: float, str
 def sweep(spark: SparkSession) -> None:
     say = lambda *x: print(*x, file=sys.stderr, flush=True)
     say(environment(spark))
+    say("generated table", canary(lambda: generate(spark, 1_000_000, 128)))
     arms = [Strategy.HASH, Strategy.SORT, Strategy.SORT_RADIX, Strategy.NAIVE]
     for rows in ROWS:
         say("rows", rows, point(spark, rows, 128, 0.5, arms))

@@ -200,6 +200,13 @@ def test_checksums(spark):
     assert measure.checksum(df) != measure.checksum(df.withColumn("n", F.col("n") + 1))
 
 
+def test_canary(spark):
+    assert measure.canary(lambda: generator.generate(spark, 2000, 8)) == measure.checksum(generator.generate(spark, 2000, 8, chunk=100))
+    seeds = iter((1, 2))
+    with pytest.raises(RuntimeError, match="second time"):
+        measure.canary(lambda: spark.range(next(seeds)))
+
+
 def test_catalog(spark, sales):
     sales.createOrReplaceTempView("sales")
     assert len(got(query_catalog(spark, "SELECT region, SUM(amount) FROM sales WHERE price > 2 GROUP BY region"))) == 3
