@@ -142,14 +142,17 @@ def test_plans(spark, sales, tmp_path):
 
 
 def executed(spark, action):
-    """The physical plans that an action ran."""
-    jvm = spark.sparkContext._jvm
+    """The physical plans that an action ran. Spark forgets old ones, so they are told apart by their ids."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
+
+    def known():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        rows = store.executionsList()
+        return {rows.apply(i).executionId(): rows.apply(i).physicalPlanDescription() for i in range(rows.size())}
+
+    before = max(known(), default=-1)
     action()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    rows = store.executionsList(int(before), 100)
-    return [rows.apply(i).physicalPlanDescription() for i in range(rows.size())] if jvm else []
+    return [p for i, p in known().items() if i > before]
 
 
 def test_a_written_sort_is_a_sort(spark, sales, tmp_path):
