@@ -66,7 +66,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that a Jaccard similarity of 0.8 or more of five-word shingles links the document with the smallest id stays."""
+    """Of each group that a Jaccard similarity of 0.8 or more of five-word shingles links the document with the smallest id stays.
+
+    Self-joins of binary tries of SimHash fingerprints propose the links.
+    """
     rows, place = placed(docs)
     groups = simhash.near_copies(rows, place, shingle=5, similarity=0.8).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *place)).alias("x"))
     return own(rows.join(groups.select(*(f"x.{c}" for c in place)), [*place], "left_semi"), docs)

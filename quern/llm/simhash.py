@@ -20,20 +20,23 @@ words: the whole sequence is the one shingle. One result row per input row, also
 ids (a null id never becomes a component_id unless the component has no other). Empty table: empty
 result. Other columns are ignored.
 
-``near_copies`` is for a stage that asks for a similarity of the texts. Fingerprints only propose there;
-the Jaccard similarity of the sets of shingles (64-bit hashes) decides. Texts of equal sets are one node
-with two fingerprints. Similarity 0.8 leaves 19 of 128 bits apart on average, so the budget is
-``BUDGET`` bits in the first 64 and ``BOTH`` in all. Blocks can't deal out, nor a trie prune, at such a budget:
-fingerprints meet where one of ``MINIMA`` hash minima of their sets agrees (each agrees with the probability of
-the similarity: 0.2^6, 6 in 100,000 at 0.8, have none) and sizes allow the similarity (classes of sizes, each
-with its neighbour), and are compared whole there. So a fingerprint meets those that share a shingle, not all of
-its size. What is proposed makes groups; inside a group every pair within the budget is checked, unless other
-checked links connect it already. Large keys and groups are dealt out in tiles, and a task returns a forest of
-its links.
+``near_copies`` is for a stage that asks for a similarity of the texts. Fingerprints propose there; the Jaccard
+similarity of the sets of shingles (64-bit hashes) decides. Texts of equal sets are one node. At similarity 0.8
+each bit differs with a chance of 0.15, so no block of useful width is free of errors in every pair, and one trie
+with a budget for all of it prunes nothing. A set therefore has several fingerprints of 128 bits, each sorted into
+a trie of its own: cut from a string of bits at steps of ``STEP``. Each trie is walked with itself in pairs of
+nodes; a pair of nodes goes on while its paths agree in the bits that deal the trie out to tasks (more of them the
+larger the table is, so that about ``TRIE`` fingerprints share them), differ in at most ``EARLY`` of the next ones,
+and in at most ``BOTH`` in all. The number of tries follows from the chance that a pair at the similarity passes
+one of them, and leaves ``MISSED`` of such pairs. Sets too small to be similar to any other are nodes of their own.
+What is proposed makes groups; inside a group every pair is checked by its sets (pairs that differ in more than
+``FAR`` of 128 bits can't be similar), unless other checked links connect it already. Subtries and groups that are
+too large are dealt out in tiles, and a task returns a forest of its links.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,9 +56,11 @@ from quern.shipping import ship
 #: Cut bits of a large key at most; and marks of its parts (0 to 63: a pair of nodes that differ in that bit).
 CUT_BITS, WHOLE, NODE, OUTSIDE = 16, -2, -1, 64
 SIGN = np.uint64(1 << 63)
-#: Bits that may differ where near_copies asks for a similarity of 0.8: of the first fingerprint, and of both.
-BUDGET, BOTH = 20, 32
-#: Hash minima of a set that near_copies deals out by.
+#: Of near_copies: errors allowed in the first bits of a subtrie, bits that may differ in 128, and in a check of sets.
+EARLY, BOTH, FAR = (2, 15), 32, 44
+#: Fingerprints of a subtrie; bits from one trie's fingerprint to the next one's; pairs at the similarity that no trie proposes.
+TRIE, STEP, MISSED = 1 << 15, 21, 1e-5
+#: Hash minima of a set.
 MINIMA = 6
 
 
@@ -106,20 +111,22 @@ def fingerprint_texts(column: pa.Array, shingle: int = 3, seed: int = 42) -> np.
     return prints_of(*shingle_hashes(column, shingle, seed))
 
 
-def trie_links(values: np.ndarray, starts: np.ndarray, budget: int, frontier: int = 1 << 18, tally: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(values: np.ndarray, starts: np.ndarray, budget: int, frontier: int = 1 << 18, tally: Counter | None = None, early: tuple[int, int] = (0, 0)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Position pairs that differ in at most ``budget`` bits, by walking pairs of trie nodes.
 
-    A node is a range of sorted, distinct values. starts: rows a0, a1, b0, b1 of the node pairs to start from, a
-    range twice for the pairs inside it. At most about ``frontier`` node pairs are expanded at once; the others
-    wait on a stack. tally: counts the node pairs met and the leaves among them.
+    A node is a range of sorted, distinct values; a row of ``values`` has 64 bits of each. starts: rows a0, a1, b0, b1 of
+    the node pairs to start from, a range twice for the pairs inside it. At most about ``frontier`` node pairs are expanded
+    at once; the others wait on a stack. tally: counts the node pairs met and the leaves among them. early: a depth, and
+    the errors that a pair may have down to it; with none all pairs are found.
     """
+    values = np.atleast_2d(values)
     ones: dict[int, np.ndarray] = {}
 
     def middle(depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         if depth not in ones:
             if len(ones) > 16:
                 ones.clear()
-            ones[depth] = np.concatenate([[0], np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int32)])
+            ones[depth] = np.concatenate([[0], np.cumsum((values[depth >> 6] >> np.uint64(63 - depth % 64)) & np.uint64(1), dtype=np.int32)])
         return hi - (ones[depth][hi] - ones[depth][lo])
 
     stack = [(0, np.concatenate([starts, np.zeros((1, starts.shape[1]), np.int64)]))]
@@ -134,7 +141,7 @@ def trie_links(values: np.ndarray, starts: np.ndarray, budget: int, frontier: in
             tally.update(pairs=int(alive.sum()), leaves=int(leaf.sum()))
         if leaf.any():
             i, j = a0[leaf], b0[leaf]
-            near = np.bitwise_count(values[i] ^ values[j]) <= budget
+            near = sum(np.bitwise_count(word[i] ^ word[j]) for word in values) <= budget
             if near.any():
                 yield i[near], j[near]
         pairs = pairs[:, alive & ~leaf]
@@ -145,8 +152,8 @@ def trie_links(values: np.ndarray, starts: np.ndarray, budget: int, frontier: in
             continue
         a0, a1, b0, b1, errors = pairs
         am, bm = middle(depth, a0, a1), middle(depth, b0, b1)
-        other = (a0 != b0) & (errors < budget)
-        cross = errors < budget
+        cross = errors < (early[1] if depth < early[0] else budget)
+        other = (a0 != b0) & cross
         stack.append((depth + 1, np.concatenate([
             np.stack([a0, am, b0, bm, errors]),
             np.stack([am, a1, bm, b1, errors]),
@@ -268,16 +275,30 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", *carry)
 
 
-def sets_of(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, how many each has, and two fingerprints of each."""
+def sets_of(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, and how many each has."""
     hashes, have = shingle_hashes(column, shingle, seed)
     of = np.repeat(np.arange(len(have)), have)
     order = np.lexsort((hashes, of))
     hashes, of = hashes[order], of[order]
     new = np.ones(len(of), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-    hashes, n = hashes[new], np.bincount(of[new], minlength=len(have))
-    return hashes, n, prints_of(hashes, n), prints_of(mix(hashes), n)
+    return hashes[new], np.bincount(of[new], minlength=len(have))
+
+
+def words_of(hashes: np.ndarray, n: np.ndarray, many: int) -> list[np.ndarray]:
+    """The first words of 64 bits of each set's fingerprints."""
+    return [prints_of(mix(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))), n) for i in range(many)]
+
+
+def tries(nodes: int, similarity: float) -> tuple[int, int]:
+    """Bits that deal a trie of so many fingerprints out, and how many tries leave ``MISSED`` of the pairs at the similarity."""
+    errors, bits = EARLY
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    chance = lambda n, most: sum(math.comb(n, k) * apart**k * (1 - apart) ** (n - k) for k in range(most + 1))
+    dealt = min(max(0, math.ceil(math.log2(max(nodes, 1) / TRIE))), 64 - bits)
+    found = chance(dealt, 0) * chance(bits, errors) * chance(128, BOTH)
+    return dealt, 1 if found >= 1 else math.ceil(math.log(MISSED) / math.log(1 - found))
 
 
 def minima(hashes: np.ndarray, n: np.ndarray, many: int = MINIMA) -> list[np.ndarray]:
@@ -291,32 +312,24 @@ def minima(hashes: np.ndarray, n: np.ndarray, many: int = MINIMA) -> list[np.nda
     return out
 
 
-def block_links(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray] | None, budget: int, both: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions in x and in y (None: x itself, each pair once) within the budgets, and their distances."""
+def block_links(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray] | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in x and in y (None: x itself, each pair once) that differ in at most ``most`` of 128 bits, and their distances."""
     other = x if y is None else y
     for r in range(0, len(x[0]), 256):
         for c in range(r if y is None else 0, len(other[0]), 2048):
-            there = other[0][c : c + 2048]
-            near = np.flatnonzero(np.bitwise_count(x[0][r : r + 256, None] ^ there) <= budget)
-            i, j = near // max(len(there), 1) + r, near % max(len(there), 1) + c
+            bits = sum(np.bitwise_count(u[r : r + 256, None] ^ v[c : c + 2048]) for u, v in zip(x, other, strict=True))
+            i, j = np.nonzero(bits <= most)
+            bits, i, j = bits[i, j], i + r, j + c
             if y is None:
-                i, j = i[i < j], j[i < j]
-            bits = np.bitwise_count(x[0][i] ^ other[0][j]) + np.bitwise_count(x[1][i] ^ other[1][j])
-            if (bits <= both).any():
-                yield i[bits <= both], j[bits <= both], bits[bits <= both]
-
-
-def tile_links(part: np.ndarray, guest: np.ndarray, fp: np.ndarray, fp2: np.ndarray, budget: int, both: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links inside a tile, nearest first: between its two parts, or inside its only one; guests don't meet guests."""
-    pick = lambda at: (fp[at], fp2[at])
-    home, out = np.flatnonzero(~guest), []
-    away = np.flatnonzero(guest)
-    if (part == 0).all():
-        sides = [(home, None), (home, away)]
-    else:
-        sides = [(home[part[home] == a], rest[part[rest] == b]) for a, b, rest in ((0, 1, home), (0, 1, away), (1, 0, away))]
-    for x, y in sides:
-        out += [(x[i], (x if y is None else y)[j], bits) for i, j, bits in block_links(pick(x), None if y is None else pick(y), budget, both)]
+                bits, i, j = bits[i < j], i[i < j], j[i < j]
+            yield i, j, bits
+
+
+def tile_pairs(part: np.ndarray, fp: np.ndarray, fp2: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a tile to check, nearest first: between its two parts, or inside its only one."""
+    home, away = np.flatnonzero(part == 0), np.flatnonzero(part)
+    x, y = (fp[home], fp2[home]), (fp[away], fp2[away]) if len(away) else None
+    out = [(home[i], (home if y is None else away)[j], bits) for i, j, bits in block_links(x, y, most)]
     if not out:
         return (np.zeros(0, np.int64),) * 3
     i, j, bits = map(np.concatenate, zip(*out, strict=True))
@@ -324,52 +337,68 @@ def tile_links(part: np.ndarray, guest: np.ndarray, fp: np.ndarray, fp2: np.ndar
     return i[order], j[order], bits[order]
 
 
+def in_tiles(df: DataFrame, node: str, columns: list[str]) -> DataFrame:
+    """Each row, one of ``sides`` parts of its key, under every tile that its part stands in: columns lo, hi and part (0 or 1)."""
+    q = F.col("q")
+    spread = df.withColumn("mine", F.pmod(F.xxhash64(node, F.lit(7)), F.col("sides")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return spread.select(*columns, F.least("mine", q).alias("lo"), F.greatest("mine", q).alias("hi"), (F.col("mine") > q).cast("int").alias("part"))
+
+
 def tiles(df: DataFrame, key: str, node: str, side: Column) -> DataFrame:
-    """Each row under every tile of its key that its part stands in: columns lo, hi and part (0 or 1). side: parts of the key. Rows alone under their key go."""
-    part, q = F.pmod(F.xxhash64(node, F.lit(7)), F.col("sides")).cast("int"), F.col("q")
+    """Each row under every tile of its key that its part stands in. side: parts of the key. Rows alone under their key go."""
     sizes = df.groupBy(key).agg(F.count("*").alias("m")).where("m > 1").select(key, F.greatest(F.lit(1), side).cast("int").alias("sides"))
     # the key is made anew: the join shares no shuffle with the aggregation, so a large key's rows can be split
     sizes = sizes.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
-    spread = df.join(sizes, key).withColumn("mine", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    return spread.select(*df.columns, F.least("mine", q).alias("lo"), F.greatest("mine", q).alias("hi"), (F.col("mine") > q).cast("int").alias("part"))
+    return in_tiles(df.join(sizes, key), node, df.columns)
 
 
-def proposed(nodes: DataFrame, similarity: float, budget: int, both: int) -> DataFrame:
-    """Nodes (node, n, fp, fp2, minima) to edges (a, b) that connect what minima, sizes and fingerprints allow to be similar."""
-    size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(-np.log(similarity) * (1 + 1e-9))).cast("int")
-    dealt = nodes.where("n > 0").select("node", "fp", "fp2", size_class.alias("c"), F.posexplode("minima").alias("i", "least"))
-    dealt = dealt.select("node", "fp", "fp2", "i", "least", F.posexplode(F.array(F.col("c"), F.col("c") + 1)).alias("guest", "class")).select("node", "fp", "fp2", "guest", F.xxhash64("i", "least", "class").alias("key"))
+def proposed(nodes: DataFrame, count: int, similarity: float, both: int = BOTH, trie: int = TRIE) -> DataFrame:
+    """Nodes (node long, words array<long>), about ``count`` of them, to edges (a, b) that connect what the tries' self-joins link."""
+    dealt, many = tries(count, similarity)
+    size, step = F.size("words"), F.col("i") % 3 * STEP
+    turned = lambda w: F.call_function("shiftleft", w, step).bitwiseOR(F.call_function("shiftrightunsigned", w, 64 - step))
+    first, second = (F.element_at("words", (F.floor(F.col("i") / 3).cast("int") + k) % size + 1) for k in (0, 1))
+    rows = nodes.select("node", "words", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("i")).select("node", "i", turned(first).alias("v"), turned(second).alias("w"))
+    subtrie = F.call_function("shiftrightunsigned", F.col("v"), F.lit(64 - dealt)) if dealt else F.lit(0).cast("long")
+    rows = rows.select("node", "v", "w", (F.col("i").cast("long") * (1 << dealt) + subtrie).alias("key"))
+    early = (dealt + EARLY[1], EARLY[0])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(batches, ["key", "lo", "hi"]):
-            node, part, guest, fp, fp2 = (table.column(c).to_numpy() for c in ("node", "part", "guest", "fp", "fp2"))
-            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
-            # pairs of two rows at once; most keys have no more
-            two = at[:-1][np.diff(at) == 2]
-            meet = (part[two] != part[two + 1]) | (table.column("lo").to_numpy()[two] == table.column("hi").to_numpy()[two])
-            first = np.bitwise_count(fp[two] ^ fp[two + 1])
-            near = meet & ((guest[two] == 0) | (guest[two + 1] == 0)) & (first <= budget) & (first + np.bitwise_count(fp2[two] ^ fp2[two + 1]) <= both)
-            if near.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[two[near]]), pa.array(node[two[near] + 1])], ["a", "b"])
-            for a, b in zip(at[:-1][np.diff(at) > 2].tolist(), at[1:][np.diff(at) > 2].tolist(), strict=True):
-                forest = Forest(b - a)
-                i, j, _ = tile_links(part[a:b], guest[a:b] > 0, fp[a:b], fp2[a:b], budget, both)
-                forest.union(i, j)
-                child, parent = forest.edges()
-                if len(child):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[a:b][child]), pa.array(node[a:b][parent])], ["a", "b"])
+            node, part, v, w, lo, hi = (table.column(c).to_numpy() for c in ("node", "part", "v", "w", "lo", "hi"))
+            # nodes of one fingerprint are one leaf
+            new = np.ones(len(node), bool)
+            new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (part[1:] != part[:-1])
+            new[at[:-1]] = True
+            leaf, to = np.flatnonzero(new), np.concatenate([[0], np.cumsum(new)])
+            forest = Forest(len(node))
+            forest.union(leaf[to[1:] - 1][~new], np.flatnonzero(~new))
+            begin, end = to[at[:-1]], to[at[1:]]
+            cross = lo[at[:-1]] != hi[at[:-1]]
+            mid = end - np.add.reduceat(part[leaf], begin)
+            starts = np.stack([begin, np.where(cross, mid, end), np.where(cross, mid, begin), end])
+            values = np.stack([v[leaf], w[leaf]]).view(np.uint64) ^ SIGN
+            for i, j in trie_links(values, starts, both, 1 << 16, early=early):
+                forest.union(leaf[i], leaf[j])
+            child, parent = forest.edges()
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[parent])], ["a", "b"])
 
+    # the few subtries that are too large go to every task; their parts meet in tiles
+    large = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 2 * trie).select("key", F.ceil(F.col("m") / trie).cast("int").alias("sides"))
+    spread = rows.join(F.broadcast(large), "key", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ("key", "lo", "hi")
-    return tiles(dealt, "key", "node", F.when(F.col("m") <= 512, 1).otherwise(F.ceil(F.sqrt("m") / 24))).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
+    return in_tiles(spread, "node", rows.columns).repartition(n, *keys).sortWithinPartitions(*keys, "part", "v", "w").mapInArrow(join, "a long, b long")
 
 
-def checked(texts: DataFrame, shingle: int, similarity: float, budget: int, both: int, seed: int) -> DataFrame:
+def checked(texts: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
     """Rows (component, node, text) to edges (a, b) that connect what pairs of the similarity in a component connect."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
-            hashes, n, fp, fp2 = sets_of(batch.column("text"), shingle, seed)
+            hashes, n = sets_of(batch.column("text"), shingle, seed)
+            fp, fp2 = words_of(hashes, n, 2)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["component", "node", "fp", "fp2", "s"])
 
@@ -381,7 +410,7 @@ def checked(texts: DataFrame, shingle: int, similarity: float, budget: int, both
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
             size = np.diff(offsets)
             for a, b in zip(at[:-1], at[1:], strict=True):
-                i, j, _ = tile_links(part[a:b], np.zeros(b - a, bool), fp[a:b].view(np.uint64), fp2[a:b].view(np.uint64), budget, both)
+                i, j, _ = tile_pairs(part[a:b], fp[a:b].view(np.uint64), fp2[a:b].view(np.uint64), FAR)
                 i, j = i + a, j + a
                 fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
                 root, links = list(range(b - a)), []
@@ -410,28 +439,34 @@ def checked(texts: DataFrame, shingle: int, similarity: float, budget: int, both
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
 
 
-def near_copies(docs: DataFrame, place: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = BUDGET, both: int = BOTH, seed: int = 42) -> DataFrame:
+def near_copies(docs: DataFrame, place: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, both: int = BOTH, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, component (the group's number, never null), and the columns ``place``, which tell rows apart."""
 
     ship(docs.sparkSession)
+    count = docs.count()
+    many = tries(count, similarity)[1]
+    words = max(2, -(-many // 3))
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
-            hashes, n, fp, fp2 = sets_of(batch.column("text"), shingle, seed)
+            hashes, n = sets_of(batch.column("text"), shingle, seed)
             ends = np.cumsum(n)
             node = np.fromiter((xxhash.xxh3_64_intdigest(hashes[b - k : b].tobytes()) for b, k in zip(ends.tolist(), n.tolist(), strict=True)), np.uint64, len(n))
-            least = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(minima(hashes, n), axis=1).ravel().view(np.int64)), MINIMA).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *place)), pa.array(node.view(np.int64)), pa.array(n, pa.int32()), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), least], ["doc_id", *place, "node", "n", "fp", "fp2", "minima"])
+            bits = np.stack(words_of(hashes, n, words), axis=1).ravel().view(np.int64)
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(bits), words).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *place)), pa.array(node.view(np.int64)), pa.array(n, pa.int32()), bits], ["doc_id", *place, "node", "n", "words"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *place, F.col(text_col).alias("text"))
-    new = [StructField(c, IntegerType() if c == "n" else ArrayType(LongType()) if c == "minima" else LongType()) for c in ("node", "n", "fp", "fp2", "minima")]
+    new = [StructField(c, t) for c, t in (("node", LongType()), ("n", IntegerType()), ("words", ArrayType(LongType())))]
     rows = write_table(source.mapInArrow(prints, StructType([f for f in source.schema.fields if f.name != "text"] + new)), "fingerprints")
-    nodes = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "fp", "fp2", "minima")))
-    groups = components(proposed(nodes, similarity, budget, both))
+    # a set of n can only be similar to another one if n of n + 1 are enough
+    nodes = write_table(rows.where(F.col("n") >= F.lit(similarity) * (F.col("n") + 1)).groupBy("node").agg(F.min("words").alias("words")), "nodes")
+    groups = components(proposed(nodes, count, similarity, both))
     # of each proposed node one text is read
     one = rows.join(groups, "node").groupBy("node").agg(F.min(F.struct(*place)).alias("x"), F.min("component").alias("component"))
     digest = F.concat_ws(" ", *place).alias("digest")
     one = write_table(one.select("node", "component", "x.*").select("node", "component", digest), "proposed")
-    words = filter_words(one.count())
-    texts = source.select(digest, "text").where(may_hold(write_table(bloom(one.select("digest"), words), "filters"), F.col("digest"), words)).join(one, "digest").select("component", "node", "text")
-    found = components(checked(texts, shingle, similarity, budget, both, seed))
+    filters = filter_words(one.count())
+    texts = source.select(digest, "text").where(may_hold(write_table(bloom(one.select("digest"), filters), "filters"), F.col("digest"), filters)).join(one, "digest").select("component", "node", "text")
+    found = components(checked(texts, shingle, similarity, seed))
     return rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), *place)

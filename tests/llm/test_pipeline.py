@@ -120,3 +120,48 @@ def test_hash_minima():
         assert (got[1] == (1 << 64) - 1).all()
         agree.append((got[0] == got[2]).mean())
     assert abs(np.mean(agree) - 0.8) < 0.05 and min(agree) > 0
+
+
+def test_the_walk_of_long_fingerprints():
+    """128 bits: with errors limited in the first bits, each link within that limit is found once, and nothing beyond the budget."""
+    from collections import Counter
+
+    import numpy as np
+
+    from quern.llm import simhash
+
+    r = random.Random(5)
+    values = set()
+    for _ in range(60):
+        base = r.getrandbits(128)
+        values |= {base} | {base ^ sum(1 << x for x in r.sample(range(128), r.randint(1, 25))) for _ in range(6)}
+    values = sorted(values)
+    n, words, tally = len(values), np.array([[v >> 64 for v in values], [v & ((1 << 64) - 1) for v in values]], np.uint64), Counter()
+    got = [p for i, j in simhash.trie_links(words, np.array([[0], [n], [0], [n]]), 32, 100, tally, (15, 2)) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    far = lambda i, j, bits=128: ((values[i] ^ values[j]) >> (128 - bits)).bit_count()
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if far(i, j) <= 32 and far(i, j, 15) <= 2}
+    assert len(got) == len(set(got)) and want <= set(got) and all(far(i, j) <= 32 for i, j in got)
+    assert len(want) > 500 and tally["leaves"] < 0.2 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("trie", [1 << 15, 40])
+def test_near_pairs_come_from_tries_of_fingerprints(spark, trie):
+    """Pairs at exactly 0.8 are proposed from their fingerprints alone, also the smallest sets and in tiles; others hardly ever."""
+    import numpy as np
+
+    from quern.llm import simhash
+
+    rng = np.random.default_rng(11)
+    many = max(2, -(-simhash.tries(800, 0.8)[1] // 3))
+    rows = []
+    for k in range(400):
+        common = rng.integers(0, 1 << 63, 4 if k % 2 else 80, dtype=np.uint64)
+        extra = rng.integers(0, 1 << 63, 1 if k % 2 else 20, dtype=np.uint64)
+        sets = [common, np.concatenate([common, extra])] if k % 2 else [np.concatenate([common, extra[:10]]), np.concatenate([common, extra[10:]])]
+        for side, s in enumerate(sets):
+            words = np.array(simhash.words_of(s, np.array([len(s)]), many)).ravel().view(np.int64)
+            rows.append((2 * k + side, [int(x) for x in words]))
+    nodes = spark.createDataFrame(rows, "node long, words array<long>")
+    of = {x.node: x.component for x in simhash.components(simhash.proposed(nodes, len(rows), 0.8, trie=trie)).collect()}
+    assert sum(of.get(2 * k) is None or of.get(2 * k) != of.get(2 * k + 1) for k in range(400)) <= 1
+    assert len(set(of.values())) >= 395
